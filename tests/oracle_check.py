@@ -81,7 +81,7 @@ def main() -> int:
             else:
                 result = f"ok rows-only {len(df.collect())}"
         except Exception as e:  # report and go on with the next query
-            result = f"error {type(e).__name__}: {str(e)[:600]}"
+            result = f"error {type(e).__name__}: {str(e).replace(chr(10), " ")[:int(sys.argv.count("-v") or 0) * 20000 or 300]}"
             if len(a.names) == 1:
                 traceback.print_exc()
         spark.catalog.clearCache()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textlabel.functions.numeric import ratio
 from textlabel.operators.ranking import ROWS_PER_BUCKET, running_totals
-from textlabel.operators.resample import weight_of
+from textlabel.operators.resample import replicate_ids, weight_of
 
 CELLS = ["tp", "fp", "fn", "tn"]
 METRICS = ["f_meas", "accuracy", "kap", "sens", "spec", "ppv", "npv", "recall", "precision"]
@@ -217,7 +217,7 @@ def bootstrap_confusion(
     about replicates x groups small rows per task are shuffled."""
     cells = _cells(F.col(truth), F.col(est), positive, F.col("weight"))
     reps = pred.select(*by, id_col, truth, est).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))).cast("long")
+        "replicate", replicate_ids(1, replicates)
     )
     weighted = reps.withColumn("weight", weight_of(F.col("replicate"), id_col, seed)).filter("weight > 0")
     return weighted.groupBy(*by, "replicate").agg(*[c.alias(k) for k, c in cells.items()])
@@ -239,7 +239,7 @@ def bootstrap_confusion_cells(
         )
 
     reps = conf.select(*by, *CELLS).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))).cast("long")
+        "replicate", replicate_ids(1, replicates)
     )
     keys = [F.xxhash64(F.lit(seed), *[F.col(b) for b in by], F.col("replicate"), F.lit(c)) for c in CELLS]
     drawn = [draw(F.col(c), k).alias(c) for c, k in zip(CELLS, keys)]

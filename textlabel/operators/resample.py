@@ -89,6 +89,10 @@ def weight_of(replicate: Column | int, id_col: str, seed: object = None) -> Colu
     return poisson_weight(unit(key, F.col(id_col))).cast("long")
 
 
+def replicate_ids(first: int, last: int) -> Column:
+    return F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
+
+
 def bootstrap_weights(
     df: DataFrame, id_col: str, replicates: int = 1000, seed: object = None, apparent: bool = False
 ) -> DataFrame:
@@ -98,7 +102,7 @@ def bootstrap_weights(
     per input row, but sums of it combine inside the tasks.
     """
     first = 0 if apparent else 1
-    reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(replicates))).cast("long"))
+    reps = df.withColumn("replicate", replicate_ids(first, replicates))
     weight = weight_of(F.col("replicate"), id_col, seed)
     if apparent:
         weight = F.when(F.col("replicate") == 0, F.lit(1).cast("long")).otherwise(weight)

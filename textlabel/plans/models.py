@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -76,7 +76,7 @@ def _logistic(p: Params, dim: int, weight: str | None, seed: int):
 
 def _lasso(p: Params, dim: int, weight: str | None, seed: int):
     return LogisticRegression(
-        elasticNetParam=1.0, regParam=float(p.get("penalty", 0.01)), maxIter=int(p.get("max_iter", 100)), **_common(weight)
+        elasticNetParam=1.0, regParam=float(p.get("penalty", 0.01)), maxIter=int(p.get("max_iter", 100)), tol=1e-5, **_common(weight)
     )
 
 
@@ -124,7 +124,7 @@ def _svm(p: Params, dim: int, weight: str | None, seed: int):
     platt = LogisticRegression(
         **{**_common(weight), "featuresCol": "margin_one"}, regParam=1e-6, maxIter=50
     )
-    return Pipeline(stages=[svc, one, platt])
+    return [svc, one, platt]
 
 
 def _mlp(p: Params, dim: int, weight: str | None, seed: int):
@@ -216,6 +216,14 @@ def random_grid(space: Mapping[str, Callable[[float], object]], size: int = 10,
     return [{name: columns[name][i] for name in columns} for i in range(size)]
 
 
+def _drop_summary(stage: object) -> None:
+    """Forget the training summary. It would travel with the model into every task, with its session;
+    and a session that has an `Observation` cannot be serialised."""
+    if getattr(stage, "hasSummary", False):
+        none = SparkSession.active().sparkContext._jvm.scala.Option.empty()
+        stage._java_obj.setSummary(none)
+
+
 def fit_model(
     spec: ModelSpec | str, params: Params, train: DataFrame, weight: str | None = None, seed: int = 100
 ) -> PipelineModel | KnnModel:
@@ -240,8 +248,14 @@ def fit_model(
     data = train.withColumn(TRUTH, F.col(TRUTH).cast("double"))
     if weight:
         data = data.withColumn(weight, F.col(weight).cast("double"))
-    fitted = spec.build(params, dim, weight, seed).fit(data)
-    return fitted if isinstance(fitted, PipelineModel) else PipelineModel([fitted])
+    steps = spec.build(params, dim, weight, seed)
+    stages = []
+    for step in steps if isinstance(steps, list) else [steps]:
+        stage = step.fit(data) if isinstance(step, Estimator) else step
+        _drop_summary(stage)
+        stages.append(stage)
+        data = stage.transform(data)
+    return PipelineModel(stages)
 
 
 def score(model: PipelineModel | KnnModel, df: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,6 +61,11 @@ def _run(jobs: Sequence[Callable[[], object]], parallelism: int) -> list[object]
         return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
 
 
+def _read_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The tables that the jobs wrote, each into a folder of its own (writers sharing one would clash)."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def _narrow(df: DataFrame, id_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), "features", F.col("truth").cast("int").alias("truth"), *more)
 
@@ -95,6 +101,8 @@ def tune(
                 analysis, assessment = table.filter(inside), table.filter(~inside)
 
                 def job(flow: Workflow, i: int, params: Mapping) -> Callable[[], object]:
+                    folder = f"{path}/{uuid.uuid4().hex}"
+
                     def run() -> None:
                         model = fit_model(flow.model, params, analysis, seed=seed)
                         out = score(model, assessment).select(
@@ -108,7 +116,7 @@ def tune(
                             "p0",
                             "p1",
                         )
-                        out.write.mode("append").parquet(path)
+                        out.write.parquet(folder)
 
                     return run
 
@@ -120,7 +128,7 @@ def tune(
                 ]
                 _run(jobs, parallelism)
     id_type = df.schema[id_col].dataType.simpleString()
-    return spark.read.schema(PREDICTIONS.format(id=f"id {id_type}")).parquet(path)
+    return _read_folders(spark, path, PREDICTIONS.format(id=f"id {id_type}"))
 
 
 def evaluate(
@@ -264,14 +272,14 @@ def bootstrap_refit(
                 pred = score(model, _narrow(recipe.transform(held), id_col))
                 pred.select(
                     F.lit(outcome).alias("outcome"), F.lit(rep).cast("long").alias("replicate"), "id", "truth", "pred", "p0", "p1"
-                ).write.mode("append").parquet(path)
+                ).write.parquet(f"{path}/{uuid.uuid4().hex}")
                 features.unpersist()
 
             return run
 
         _run([job(r) for r in range(0 if apparent else 1, replicates + 1)], parallelism)
     schema = f"outcome string, replicate long, id {id_type}, truth int, pred int, p0 double, p1 double"
-    return evaluate(spark.read.schema(schema).parquet(path), ["outcome", "replicate"])
+    return evaluate(_read_folders(spark, path, schema), ["outcome", "replicate"])
 
 
 def bootstrap_refit_ci(m: DataFrame) -> DataFrame:
