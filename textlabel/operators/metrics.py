@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textlabel.functions.numeric import ratio
 from textlabel.operators.ranking import ROWS_PER_BUCKET, running_totals
-from textlabel.operators.resample import replicate_ids, weight_of
+from textlabel.operators.resample import bootstrap_weights, replicate_ids, weight_of
 
 CELLS = ["tp", "fp", "fn", "tn"]
 METRICS = ["f_meas", "accuracy", "kap", "sens", "spec", "ppv", "npv", "recall", "precision"]
@@ -39,13 +39,17 @@ def confusion(
 
 
 def confusion_wide(
-    df: DataFrame, pairs: Mapping[str, tuple[str, str]], positive: object = 1, by: Sequence[str] = ()
+    df: DataFrame,
+    pairs: Mapping[str, tuple[str, str]],
+    positive: object = 1,
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Confusion counts of many outcomes, {outcome: (truth column, estimate column)}, from one aggregate
     over one scan: four sums per outcome leave a task, and rows are never repeated per outcome."""
     aggs = []
     for i, (truth, est) in enumerate(pairs.values()):
-        cells = _cells(F.col(f"`{truth}`"), F.col(f"`{est}`"), positive)
+        cells = _cells(F.col(f"`{truth}`"), F.col(f"`{est}`"), positive, None if weight is None else F.col(weight))
         aggs += [F.coalesce(c, F.lit(0).cast("long")).alias(f"{k}{i}") for k, c in cells.items()]
     wide = df.groupBy(*by).agg(*aggs)
     rows = [
@@ -95,7 +99,7 @@ def _with_totals(
 ) -> tuple[DataFrame, DataFrame]:
     counts = score_counts(pred, score, truth, by, positive).persist()
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    runs = running_totals(counts, "threshold", ["pos", "neg"], by, rows_per_bucket)
+    runs = running_totals(counts, "threshold", ["pos", "neg"], by, rows_per_bucket, cached=True)
     return runs, totals
 
 
@@ -223,6 +227,23 @@ def bootstrap_confusion(
     return weighted.groupBy(*by, "replicate").agg(*[c.alias(k) for k, c in cells.items()])
 
 
+def bootstrap_confusion_wide(
+    df: DataFrame,
+    pairs: Mapping[str, tuple[str, str]],
+    id_col: str = "id",
+    replicates: int = 1000,
+    seed: object = None,
+    positive: object = 1,
+) -> DataFrame:
+    """(outcome, replicate, tp, fp, fn, tn) for many outcomes of the same records, {outcome: (truth,
+    estimate)}: a record's weight in a replicate is drawn once and serves all outcomes."""
+    used = sorted({c for pair in pairs.values() for c in pair})
+    rows = df.select(id_col, *[F.col(f"`{c}`") for c in used])
+    return confusion_wide(
+        bootstrap_weights(rows, id_col, replicates, seed).filter("weight > 0"), pairs, positive, ["replicate"], "weight"
+    )
+
+
 def bootstrap_confusion_cells(
     conf: DataFrame, by: Sequence[str] = ("outcome",), replicates: int = 1000, seed: int = 100
 ) -> DataFrame:

@@ -35,15 +35,17 @@ def running_totals(
     measures: Sequence[str],
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    cached: bool = False,
 ) -> DataFrame:
     """Running sum of each measure in ascending `order` within `by`, as `cum_<measure>`.
 
     `order` must be a DOUBLE that is unique within `by` (aggregate first: a score or value that a third
     of all rows share is then one row). Rows are summed inside order buckets, and the totals of earlier
     buckets, a tiny table, are added. Both steps use the keys (by, bucket), so the rows shuffle once.
+    The rows are read twice, so they are persisted unless `cached` says that they or their parent are.
     """
     by = list(by)
-    df = with_buckets(df.persist(), order, rows_per_bucket)
+    df = with_buckets(df if cached else df.persist(), order, rows_per_bucket)
     keys = [*by, "_bucket"]
     totals = df.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*by, F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -79,7 +81,9 @@ def quantile_table(
     counts = df.select(c.cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).persist()
     n = counts.filter("v is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     missing = counts.filter("v is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    ranked = running_totals(counts.filter("v is not null"), "v", ["n"], rows_per_bucket=rows_per_bucket)
+    ranked = running_totals(
+        counts.filter("v is not null"), "v", ["n"], rows_per_bucket=rows_per_bucket, cached=True
+    )
 
     def at(rank: Column) -> Column:  # value at a 0-based rank
         return F.min(F.when(F.col("cum_n") > rank, F.col("v")))

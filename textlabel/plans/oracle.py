@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from textlabel.functions.dictionaries import SNOWBALL_ENGLISH, SUBSTANCES
 from textlabel.functions.hashing import POISSON_CUTS
-from textlabel.functions.text import MARK, WORD, WORD_RUN, alternation
+from textlabel.functions.text import MARK, WORD, WORD_RUN
 from textlabel.operators.metrics import METRICS
 from textlabel.plans import models
 from textlabel.plans.queries import DEMO, FLAGS, LEXICON, PART_RULES, TRUTHS
@@ -19,7 +19,10 @@ def values(words: list[str]) -> str:
 
 
 def hit(terms: list[str], whole_word: bool = False, text: str = "text") -> str:
-    return f"CAST(coalesce(regexp_matches({text}, {q(alternation(terms, whole_word))}), false) AS INTEGER)"
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    body = "|".join(terms)
+    body = f"(?:^|{edge})(?:{body})(?:{edge}|$)" if whole_word else body
+    return f"CAST(coalesce(regexp_matches({text}, {q('(?i)' + body)}), false) AS INTEGER)"
 
 
 SQL: dict[str, str] = {}

@@ -74,12 +74,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose texts take work: a single small file is shared out over the cores first."""
+    return tables.spread(table(spark, sf, name), key)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return round_numeric(df, PLACES, half_even=False)
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
-    return recode.tag_keywords(table(spark, sf, "documents"), "text", DEMO).select("doc_id", *FLAGS)
+    return recode.tag_keywords(texts(spark, sf), "text", DEMO).select("doc_id", *FLAGS)
 
 
 def labelled_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +102,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 @query
 def keyword_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return report.keyword_metrics(
-        table(spark, sf, "documents"),
+        texts(spark, sf),
         table(spark, sf, "labels"),
         "doc_id",
         "text",
@@ -115,7 +120,7 @@ def keyword_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def substance_flags(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = recode.tag_keywords(table(spark, sf, "documents"), "text", SUBSTANCES)
+    tagged = recode.tag_keywords(texts(spark, sf), "text", SUBSTANCES)
     names = {name.lower().replace(" ", "_").replace(".", "_"): name for name in SUBSTANCES}
     return recode.select_as(tagged, {"doc_id": "doc_id", **names})
 
@@ -170,12 +175,12 @@ def text_length_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def word_count_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(describe.six_num(table(spark, sf, "documents"), n_words("text")))
+    return rounded(describe.six_num(texts(spark, sf), n_words("text")))
 
 
 @query
 def turn_word_count_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(describe.six_num(table(spark, sf, "conversations"), n_words("text")))
+    return rounded(describe.six_num(texts(spark, sf, "conversations", "conv_id"), n_words("text")))
 
 
 @query
@@ -255,12 +260,12 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.word_counts(table(spark, sf, "documents"))
+    return tokens.word_counts(texts(spark, sf))
 
 
 @query
 def frequent_tokens_per_record(spark: SparkSession, sf: str) -> DataFrame:
-    rows = recode.filter_min_group(tokens.tokens(table(spark, sf, "documents"), "doc_id"), ["word"], 10)
+    rows = recode.filter_min_group(tokens.tokens(texts(spark, sf), "doc_id"), ["word"], 10)
     kept = tokens.remove_stopwords(rows)
     return kept.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.min("pos").cast("long").alias("first_pos"), F.max("word").alias("last_word")
@@ -269,61 +274,61 @@ def frequent_tokens_per_record(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def common_words(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.common_words(table(spark, sf, "documents"), min_n=10)
+    return tokens.common_words(texts(spark, sf), min_n=10)
 
 
 @query
 def common_words_by_table(spark: SparkSession, sf: str) -> DataFrame:
     """Stop words as a table: here the benchmark words, whose number grows with the data."""
     stop = tokens.word_counts(table(spark, sf, "benchmark")).select("word")
-    return tokens.common_words(table(spark, sf, "documents"), min_n=10, stop=stop)
+    return tokens.common_words(texts(spark, sf), min_n=10, stop=stop)
 
 
 @query
 def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
-    common = tokens.common_words(table(spark, sf, "documents"), min_n=10)
+    common = tokens.common_words(texts(spark, sf), min_n=10)
     return describe.sorted_counts(common.filter(F.col("n") > 200))
 
 
 @query
 def top_words(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.top_words(tokens.common_words(table(spark, sf, "documents")), 15)
+    return tokens.top_words(tokens.common_words(texts(spark, sf)), 15)
 
 
 @query
 def bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_counts(table(spark, sf, "documents"))
+    return tokens.bigram_counts(texts(spark, sf))
 
 
 @query
 def turn_bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_counts(table(spark, sf, "conversations"))
+    return tokens.bigram_counts(texts(spark, sf, "conversations", "conv_id"))
 
 
 @query
 def bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_pairs(table(spark, sf, "documents"))
+    return tokens.bigram_pairs(texts(spark, sf))
 
 
 @query
 def bigram_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_graph(tokens.bigram_pairs(table(spark, sf, "documents")), 10)[1]
+    return tokens.bigram_graph(tokens.bigram_pairs(texts(spark, sf)), 10)[1]
 
 
 @query
 def bigram_vertices(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_graph(tokens.bigram_pairs(table(spark, sf, "documents")), 10)[0]
+    return tokens.bigram_graph(tokens.bigram_pairs(texts(spark, sf)), 10)[0]
 
 
 @query
 def trigrams_per_record(spark: SparkSession, sf: str) -> DataFrame:
-    grams = tokens.ngrams(table(spark, sf, "documents"), "doc_id", n=3, keep_null=False, out="gram")
+    grams = tokens.ngrams(texts(spark, sf), "doc_id", n=3, keep_null=False, out="gram")
     return grams.groupBy("doc_id").agg(F.count("gram").alias("n"), F.max("gram").alias("last_gram"))
 
 
 @query
 def text_functions(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     marked = tokenize("text", lower=False, strip_punct=False)
     return docs.select(
         "doc_id",
@@ -339,23 +344,23 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return features.token_stats(table(spark, sf, "documents"), tokenize("text"))
+    return features.token_stats(texts(spark, sf), tokenize("text"))
 
 
 @query
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return features.TfidfRecipe().vocabulary(table(spark, sf, "documents"))
+    return features.TfidfRecipe().vocabulary(texts(spark, sf))
 
 
 @query
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return rounded(features.TfidfRecipe().fit(docs).long(docs, "doc_id"))
 
 
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary word of rank r gets the vector with vec_id r; at most 100 rows are ranked."""
-    stats = features.token_stats(table(spark, sf, "documents"), tokenize("text"))
+    stats = features.token_stats(texts(spark, sf), tokenize("text"))
     vocab = features.fit_vocabulary(stats)
     ranked = vocab.withColumn("vec_id", F.row_number().over(W.orderBy(F.desc("n"), "token")).cast("long") - 1)
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
@@ -369,14 +374,14 @@ def long_vectors(df: DataFrame, vec: Column) -> DataFrame:
 
 @query
 def doc_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     recipe = features.EmbeddingRecipe(word_vectors(spark, sf), 64, lower=True, stop=())
     return long_vectors(recipe.fit(docs).transform(docs), vector_to_array("features"))
 
 
 @query
 def doc_embedding_joined(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     vecs = features.doc_embedding(docs, word_vectors(spark, sf), 64, "doc_id", tokenize("text"))
     return long_vectors(vecs, F.col("vec"))
 
@@ -384,7 +389,7 @@ def doc_embedding_joined(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def oov_rate(spark: SparkSession, sf: str) -> DataFrame:
     cased = tokenize("text", lower=False)
-    return rounded(features.oov_rate(table(spark, sf, "documents"), word_vectors(spark, sf), cased))
+    return rounded(features.oov_rate(texts(spark, sf), word_vectors(spark, sf), cased))
 
 
 # --- resampling and curves ----------------------------------------------------------------------
@@ -432,8 +437,11 @@ def bootstrap_metric_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_ci_wide(spark: SparkSession, sf: str) -> DataFrame:
-    ci = metrics.bootstrap_metric_ci(flag_predictions(spark, sf), "doc_id", replicates=50)
     names = ["f_meas", "accuracy"]
+    pairs = {k: ("quality", k) for k in FLAGS}
+    conf = metrics.bootstrap_confusion_wide(labelled_flags(spark, sf), pairs, "doc_id", replicates=50)
+    long = metrics.metrics_long(metrics.class_metrics(conf, names), ["outcome", "replicate"], names)
+    ci = metrics.bootstrap_ci(long)
     return rounded(describe.pivot_multi(ci, ["outcome"], names, ["mean", "ci_lower", "ci_upper"]))
 
 
@@ -497,7 +505,7 @@ def error_rows_all_columns(spark: SparkSession, sf: str) -> DataFrame:
 def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Per fold the metrics of each dictionary entry ("model"), matched as substring or as whole word
     ("config"), for each truth ("outcome")."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     made = {
         f"{k}:{c}": has_any("text", terms, whole_word=c == "word")
         for k, terms in DEMO.items()
@@ -563,7 +571,7 @@ def best_three_table(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def top_terms_by_class(spark: SparkSession, sf: str) -> DataFrame:
     """Smoothed log-odds of a word between good and other texts: the ten largest each way, with ties."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     words = docs.join(table(spark, sf, "labels"), "doc_id").select("quality", F.explode(tokenize("text")).alias("variable"))
     good, other = (F.sum(F.when(F.col("quality") == q, 1).otherwise(0)) for q in (1, 0))
     counts = words.groupBy("variable").agg(good.alias("g"), other.alias("o")).filter(F.col("g") + F.col("o") >= 5)
@@ -616,32 +624,32 @@ def audit_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def annotate_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    found = concepts.annotate(table(spark, sf, "documents"), lexicon(spark), "doc_id")
+    found = concepts.annotate(texts(spark, sf), lexicon(spark), "doc_id")
     return found.select("doc_id", "pos", "gram", "entity", "cui", "semantic_type")
 
 
 @query
 def annotate_similar(spark: SparkSession, sf: str) -> DataFrame:
-    found = concepts.annotate(table(spark, sf, "documents"), lexicon(spark), "doc_id", threshold=0.7)
+    found = concepts.annotate(texts(spark, sf), lexicon(spark), "doc_id", threshold=0.7)
     return rounded(found.select("doc_id", "pos", "gram", "entity", "cui", "semantic_type", "score"))
 
 
 @query
 def collapse_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    found = concepts.annotate(table(spark, sf, "documents"), lexicon(spark), "doc_id")
+    found = concepts.annotate(texts(spark, sf), lexicon(spark), "doc_id")
     return concepts.concept_strings(concepts.filter_concepts(found, entities=["free"]), "doc_id")
 
 
 @query
 def attach_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     found = concepts.filter_concepts(concepts.annotate(docs, lexicon(spark), "doc_id"), entities=["free"])
     return joins.attach_concepts(docs.select("doc_id", "lang"), concepts.concept_strings(found, "doc_id"), "doc_id")
 
 
 @query
 def prepare_texts(spark: SparkSession, sf: str) -> DataFrame:
-    ready = score.prepare(table(spark, sf, "documents"), lexicon(spark), "doc_id", threshold=1.0, entities=["free"])
+    ready = score.prepare(texts(spark, sf), lexicon(spark), "doc_id", threshold=1.0, entities=["free"])
     return ready.select("doc_id", F.md5("text").alias("text_md5"), "cui")
 
 
@@ -710,7 +718,7 @@ for _name in models.MODELS:
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return docs.join(table(spark, sf, "labels"), "doc_id").withColumnRenamed("doc_id", "id")
 
 
@@ -757,13 +765,13 @@ def fitted_labellers(spark: SparkSession, sf: str) -> dict[str, models.Labeller]
 
 @query
 def predict_small(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf).select("doc_id", "text", "lang")
     return score.predict_small(docs, fitted_labellers(spark, sf)).drop("text")
 
 
 @query
 def predict_complete(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     ready = score.prepare(docs, lexicon(spark), "doc_id", threshold=1.0, entities=["free"])
     path = new_table_path(spark, "models")
     models.save_models(fitted_labellers(spark, sf), path)

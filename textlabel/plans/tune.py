@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlabel.functions.numeric import round_numeric
+from textlabel.operators.features import transform_folds
 from textlabel.operators.metrics import (
     METRICS,
     bootstrap_ci,
@@ -82,51 +83,51 @@ def tune(
 ) -> DataFrame:
     """Out-of-fold predictions of every outcome x workflow x parameter set x fold.
 
-    For each outcome and fold the recipe is fitted on the analysis rows only, and the features of all rows
-    are written once to the shared folder; all models and parameter sets of that fold read them. Each fit
-    writes its assessment predictions there too, so finished work survives lost executors and no plan
-    grows with the number of fits. Returns the table of predictions.
+    The recipe is fitted per fold on the analysis rows only, but one pass over the texts counts the tokens
+    of all folds and another makes all folds' features, one column each, in the shared folder; all models
+    and parameter sets read those. Each fit writes its assessment predictions there too, so finished work
+    survives lost executors and no plan grows with the number of fits. Returns the predictions table.
     """
     spark = df.sparkSession
     path = path or new_table_path(spark, "predictions")
+    recipes = {id(f.recipe): f.recipe for f in flows}
+    inputs = sorted({c for r in recipes.values() for c in r.inputs})
+
+    def job(outcome: str, flow: Workflow, i: int, fold: int, table: DataFrame, column: str) -> Callable[[], object]:
+        def run() -> None:
+            rows = table.select("id", "truth", "fold", F.col(column).alias("features"))
+            model = fit_model(flow.model, flow.grid[i], rows.filter(F.col("fold") != fold).drop("fold"), seed=seed)
+            out = score(model, rows.filter(F.col("fold") == fold)).select(
+                F.lit(outcome).alias("outcome"),
+                F.lit(flow.id).alias("model"),
+                F.lit(flow.config(i)).alias("config"),
+                "fold",
+                "id",
+                "truth",
+                "pred",
+                "p0",
+                "p1",
+            )
+            out.write.parquet(f"{path}/{uuid.uuid4().hex}")
+
+        return run
+
     for outcome in outcomes:
-        known = df.filter(F.col(f"`{outcome}`").isNotNull()).withColumn("truth", F.col(f"`{outcome}`"))
-        folds = settle(stratified_folds(known, id_col, "truth", v, seed), "folds")
-        recipes = {id(f.recipe): f.recipe for f in flows}
-        for fold in range(v):
-            inside = F.col("fold") != fold
-            for key, recipe in recipes.items():
-                fitted = recipe.fit(folds.filter(inside))
-                table = settle(_narrow(fitted.transform(folds), id_col, "fold"), "features")
-                analysis, assessment = table.filter(inside), table.filter(~inside)
-
-                def job(flow: Workflow, i: int, params: Mapping) -> Callable[[], object]:
-                    folder = f"{path}/{uuid.uuid4().hex}"
-
-                    def run() -> None:
-                        model = fit_model(flow.model, params, analysis, seed=seed)
-                        out = score(model, assessment).select(
-                            F.lit(outcome).alias("outcome"),
-                            F.lit(flow.id).alias("model"),
-                            F.lit(flow.config(i)).alias("config"),
-                            F.lit(fold).cast("long").alias("fold"),
-                            "id",
-                            "truth",
-                            "pred",
-                            "p0",
-                            "p1",
-                        )
-                        out.write.parquet(folder)
-
-                    return run
-
-                jobs = [
-                    job(flow, i, params)
-                    for flow in flows
-                    if id(flow.recipe) == key
-                    for i, params in enumerate(flow.grid)
-                ]
-                _run(jobs, parallelism)
+        truth = F.col(f"`{outcome}`").cast("int").alias("truth")
+        known = df.filter(F.col(f"`{outcome}`").isNotNull()).select(F.col(id_col).alias("id"), truth, *inputs)
+        folds = settle(stratified_folds(known, "id", "truth", v, seed), "folds")
+        jobs = []
+        for key, recipe in recipes.items():
+            wide, names = transform_folds(recipe.fit_folds(folds, "fold", v), folds)
+            table = settle(wide.select("id", "truth", "fold", *names), "features")
+            jobs += [
+                job(outcome, flow, i, fold, table, names[min(fold, len(names) - 1)])
+                for flow in flows
+                if id(flow.recipe) == key
+                for i in range(len(flow.grid))
+                for fold in range(v)
+            ]
+        _run(jobs, parallelism)
     id_type = df.schema[id_col].dataType.simpleString()
     return _read_folders(spark, path, PREDICTIONS.format(id=f"id {id_type}"))
 
