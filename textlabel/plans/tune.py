@@ -59,7 +59,8 @@ def workflows(
 def _run(jobs: Sequence[Callable[[], object]], parallelism: int) -> list[object]:
     """Submit independent Spark jobs from a few threads, as `CrossValidator(parallelism=…)` does."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        inherit = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(inherit(j)) for j in jobs]]
 
 
 def _read_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
