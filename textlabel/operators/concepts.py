@@ -52,41 +52,37 @@ def char_grams(text: Column | str, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
-
 def _prefix_rows(df: DataFrame, name: str, threshold: float) -> DataFrame:
-    """One row per gram in the prefix of each set under a fixed order of all grams.
+    """(name, name_n, probe): one row per gram in the prefix of each gram set under a fixed order.
 
-    Two sets with Jaccard >= t share a gram among the first |x| - ceil(t |x|) + 1 grams of each, so
-    joining only the prefixes loses no pair.
+    Two sets with Jaccard >= t share a gram among the first |x| - ceil(t |x|) + 1 grams of each, whatever
+    the order of grams, so joining only the prefixes loses no pair. The order is that of a hash, and the
+    hash is also the join key; a clash of hashes only adds a candidate, which is compared as text later.
     """
-    sets = df.select(F.col("gram").alias(name), char_grams("gram").alias(f"{name}_set"))
-    order = F.array_sort(F.transform(F.col(f"{name}_set"), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    size = F.size(f"{name}_set")
+    sets = df.select(F.col("gram").alias(name), char_grams("gram").alias("_set"))
+    hashes = sets.select(name, F.size("_set").alias(f"{name}_n"), F.transform("_set", lambda g: F.xxhash64(g)).alias("_h"))
+    size = F.col(f"{name}_n")
     keep = size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    prefix = F.slice(order, F.lit(1), keep)
-    return sets.select(name, f"{name}_set", F.explode(prefix).alias("p")).select(
-        name, f"{name}_set", F.col("p.g").alias("probe")
-    )
+    prefix = F.slice(F.array_sort("_h"), F.lit(1), keep)
+    return hashes.select(name, f"{name}_n", F.explode(prefix).alias("probe"))
 
 
 def similar_grams(surfaces: DataFrame, aliases: DataFrame, threshold: float) -> DataFrame:
     """(gram, alias, score) for every pair with Jaccard similarity of 3-grams at or above `threshold`.
 
     Both inputs have a column `gram`. Exact: prefix and size filters only remove pairs that cannot reach
-    the threshold.
+    the threshold. Rows stay narrow until then; gram sets are built again for the few pairs that are left.
     """
     left = _prefix_rows(surfaces.select("gram").distinct(), "s", threshold)
     right = _prefix_rows(aliases.select("gram").distinct(), "a", threshold)
     met = lookup_join(left, right, "probe", spread=["s"])
-    small, large = F.least(F.size("s_set"), F.size("a_set")), F.greatest(F.size("s_set"), F.size("a_set"))
-    score = jaccard(F.col("s_set"), F.col("a_set"))
-    fits = met.filter(small >= F.lit(threshold) * large - F.lit(1e-9)).withColumn("score", score)
-    pairs = fits.filter(F.col("score") >= threshold).select(F.col("s").alias("gram"), F.col("a").alias("alias"), "score")
-    return pairs.distinct()
+    small, large = F.least("s_n", "a_n"), F.greatest("s_n", "a_n")
+    fits = met.filter(small >= F.lit(threshold) * large - F.lit(1e-9)).select("s", "a")
+    sets = fits.withColumns({"s_set": char_grams("s"), "a_set": char_grams("a")})
+    common = sets.withColumn("both", F.size(F.array_intersect("s_set", "a_set")))
+    score = F.col("both") / (F.size("s_set") + F.size("a_set") - F.col("both"))
+    pairs = common.withColumn("score", score).filter(F.col("score") >= threshold)
+    return pairs.select(F.col("s").alias("gram"), F.col("a").alias("alias"), "score").distinct()
 
 
 def annotate(
