@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlabel.functions.numeric import ratio
 from textlabel.functions.text import as_col
-from textlabel.operators.ranking import quantile_table
+from textlabel.operators.ranking import quantiles_by_variable
 
 
 def quoted(name: str) -> Column:
@@ -125,11 +125,10 @@ def summary_table(
                 (F.col("total") - F.col("known")).alias("missing"),
             )
         )
-    for c in numeric:
-        q = quantile_table(df, c, [0.25, 0.5, 0.75], type2=type2)
+    if numeric:
         parts.append(
-            q.select(
-                F.lit(c).alias("variable"),
+            quantiles_by_variable(df, numeric, [0.25, 0.5, 0.75], type2=type2).select(
+                "variable",
                 F.lit(None).cast("string").alias("level"),
                 "n",
                 F.lit(None).cast("double").alias("pct"),

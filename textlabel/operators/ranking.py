@@ -65,45 +65,58 @@ def running_totals(
     )
 
 
-def quantile_table(
+def quantiles_by_variable(
     df: DataFrame,
-    col: str | Column,
+    cols: Sequence[str],
     probs: Sequence[float],
     type2: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """One row with `q` (array of exact quantiles), `n` (known values) and `missing`.
+    """(variable, q, n, missing): exact quantiles of several columns from one scan.
 
     The default interpolates between neighbours; `type2` takes the value, or the mean of the two values,
-    at the jump. Works on counted distinct values and running totals, so no task sees the whole column.
+    at the jump. Works on counted distinct values and running totals, so no task sees a whole column.
     """
-    c = F.col(f"`{col}`") if isinstance(col, str) else col
-    counts = df.select(c.cast("double").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).persist()
-    n = counts.filter("v is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    missing = counts.filter("v is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    ranked = running_totals(
-        counts.filter("v is not null"), "v", ["n"], rows_per_bucket=rows_per_bucket, cached=True
+    cells = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols]
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    counts = long.groupBy("variable", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    known = F.col("v").isNotNull()
+    totals = counts.groupBy("variable").agg(
+        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("total"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("missing"),
     )
+    runs = running_totals(counts.filter(known), "v", ["n"], ["variable"], rows_per_bucket, cached=True)
+    ranked = lookup_join(runs, totals.select("variable", "total"), "variable")
 
     def at(rank: Column) -> Column:  # value at a 0-based rank
         return F.min(F.when(F.col("cum_n") > rank, F.col("v")))
 
-    picks = []
-    for p in probs:
+    def quantile(p: float) -> Column:
+        def target(n: Column) -> Column:
+            return (n if type2 else n - 1) * F.lit(float(p))
+
+        n = F.col("total")
         if type2:
-            target = n * F.lit(float(p))
-            low = F.greatest(F.ceil(target) - 1, F.lit(0))
-            high = F.least(F.floor(target), n - 1)
+            low, high = F.greatest(F.ceil(target(n)) - 1, F.lit(0)), F.least(F.floor(target(n)), n - 1)
+            share = F.lit(0.5)
         else:
-            target = (n - 1) * F.lit(float(p))
-            low, high = F.floor(target), F.ceil(target)
-        picks.append((at(low), at(high), target))
-    values = []
-    for low, high, target in picks:
-        share = F.lit(0.5) if type2 else target - F.floor(target)
-        values.append(low + (high - low) * share)
-    out = ranked.agg(F.array(*values).alias("q"))
-    return out.select("q", n.cast("long").alias("n"), missing.cast("long").alias("missing"))
+            low, high = F.floor(target(n)), F.ceil(target(n))
+            share = target(F.max("total")) - F.floor(target(F.max("total")))
+        return at(low) + (at(high) - at(low)) * share
+
+    values = ranked.groupBy("variable").agg(F.array(*[quantile(p) for p in probs]).alias("q"))
+    return totals.join(values, "variable", "left").select("variable", "q", F.col("total").alias("n"), "missing")
+
+
+def quantile_table(
+    df: DataFrame,
+    col: str,
+    probs: Sequence[float],
+    type2: bool = False,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """One row with `q` (array of exact quantiles), `n` (known values) and `missing`."""
+    return quantiles_by_variable(df, [col], probs, type2, rows_per_bucket).drop("variable")
 
 
 def top_n(df: DataFrame, by: str, col: str, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.text import space_out
 from textlabel.operators.concepts import annotate, concept_strings, filter_concepts
 from textlabel.operators.joins import attach_concepts
-from textlabel.plans.models import Labeller
+from textlabel.plans.models import FEATURES, Labeller, score
 
 
 def prepare(
@@ -33,14 +33,32 @@ def prepare(
 
 
 def _predict(df: DataFrame, models: Mapping[str, Labeller], probabilities: bool) -> DataFrame:
-    out = df
+    """Apply all models to the same rows. Models that tokenize alike share one tokenization, and models
+    with one recipe object share its features."""
+    columns = df.columns
+    by_tokenizer: dict[str | None, dict[int, list[str]]] = {}
     for outcome, model in models.items():
-        out = model.transform(out)
-        names = {"pred": outcome, "p1": f"{outcome}_pred_1", "p0": f"{outcome}_pred_0"}
-        out = out.withColumnsRenamed(names)
-        if not probabilities:
-            out = out.drop(names["p1"], names["p0"])
-    return out
+        pipeline = getattr(model.recipe, "pipeline", None)
+        tokenizer = pipeline.stages[0].getStatement() if pipeline else None
+        by_tokenizer.setdefault(tokenizer, {}).setdefault(id(model.recipe), []).append(outcome)
+    out = df
+    for tokenizer, recipes in by_tokenizer.items():
+        for n, outcomes in enumerate(recipes.values()):
+            recipe = models[outcomes[0]].recipe
+            if tokenizer is None:
+                out = recipe.transform(out)
+            else:
+                out = recipe.after_tokens(recipe.pipeline.stages[0].transform(out) if n == 0 else out)
+            for outcome in outcomes:
+                out = score(models[outcome].model, out)
+                names = {"pred": outcome, "p1": f"{outcome}_pred_1", "p0": f"{outcome}_pred_0"}
+                out = out.withColumnsRenamed(names)
+                if not probabilities:
+                    out = out.drop(names["p1"], names["p0"])
+            out = out.drop(FEATURES)
+        out = out.drop("_tokens")
+    added = [c for o in models for c in ([o, f"{o}_pred_1", f"{o}_pred_0"] if probabilities else [o])]
+    return out.select(*[F.col(f"`{c}`") for c in [*columns, *added]])
 
 
 def predict_complete(
