@@ -17,7 +17,7 @@ from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
 from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, resample, tokens
 from textlabel.plans import models, report, score, tune
-from textlabel.session import new_table_path
+from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
 from textlabel.streaming import scoring
 
@@ -726,7 +726,8 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
 def lasso_importance(spark: SparkSession, sf: str) -> DataFrame:
     docs = labelled_documents(spark, sf).withColumn("truth", F.col("quality"))
     recipe = features.TfidfRecipe().fit(docs)
-    model = models.fit_model("lasso", {"penalty": 0.01}, recipe.transform(docs))
+    train = settle(recipe.transform(docs).select("features", "truth"), "features", even=True)
+    model = models.fit_model("lasso", {"penalty": 0.01}, train)
     return report.top_terms(models.importance(model, recipe.terms))
 
 
@@ -754,12 +755,11 @@ def bootstrap_refit_ci(spark: SparkSession, sf: str) -> DataFrame:
 def fitted_labellers(spark: SparkSession, sf: str) -> dict[str, models.Labeller]:
     docs = labelled_documents(spark, sf)
     recipe = features.TfidfRecipe().fit(docs)
-    narrow = recipe.transform(docs).select("id", "features", *TRUTHS).persist()
+    narrow = settle(recipe.transform(docs).select("id", "features", *TRUTHS), "features", even=True)
     out = {}
     for truth, name in zip(TRUTHS, ("naive_bayes", "logistic")):
         train = narrow.select("id", "features", F.col(truth).alias("truth"))
         out[truth] = models.Labeller(recipe, models.fit_model(name, {}, train))
-    narrow.unpersist()
     return out
 
 

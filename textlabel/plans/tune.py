@@ -120,7 +120,7 @@ def tune(
         jobs = []
         for key, recipe in recipes.items():
             wide, names = transform_folds(recipe.fit_folds(folds, "fold", v), folds)
-            table = settle(wide.select("id", "truth", "fold", *names), "features")
+            table = settle(wide.select("id", "truth", "fold", *names), "features", even=True)
             jobs += [
                 job(outcome, flow, i, fold, table, names[min(fold, len(names) - 1)])
                 for flow in flows
@@ -225,7 +225,7 @@ def last_fit(
             known = df.filter(F.col(f"`{outcome}`").isNotNull()).withColumn("truth", F.col(f"`{outcome}`"))
             train, test = known.filter(F.col(part) == "train"), known.filter(F.col(part) == "test")
             recipe = flow.recipe.fit(train)
-            features = settle(_narrow(recipe.transform(train), id_col), "features")
+            features = settle(_narrow(recipe.transform(train), id_col), "features", even=True)
             model = fit_model(flow.model, params, features, seed=seed)
             pred = score(model, _narrow(recipe.transform(test), id_col)).select(
                 F.lit(outcome).alias("outcome"), F.lit(flow.id).alias("model"), "id", "truth", "pred", "p0", "p1"

@@ -53,9 +53,13 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, even: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors,
-    and gives later joins true file sizes to plan with."""
+    and gives later joins true file sizes to plan with.
+
+    `even` first evens out partitions to the advisory size. That is one shuffle of a narrow table, paid
+    back where many passes follow, as in the iterations of a model fit.
+    """
     path = new_table_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
