@@ -150,8 +150,10 @@ def rank_models(m: DataFrame, metric: str = "f_meas", best_only: bool = True) ->
     """Rows of `collect_metrics` with the rank of their (model, config) by the mean of one metric within
     the outcome, best first, ties by model and config. `best_only` keeps each model's best config.
 
-    Works on the small table of averages: outcomes x models x configs rows.
+    Works on the small table of averages: outcomes x models x configs rows. It is used twice, so it is
+    persisted; behind it may lie a pass over all predictions.
     """
+    m = m.persist()
     on = m.filter(F.col("metric") == metric).select("outcome", "model", "config", F.col("mean").alias("_by"))
     if best_only:
         first = W.partitionBy("outcome", "model").orderBy(F.desc_nulls_last("_by"), "config")
@@ -172,6 +174,7 @@ def metric_summary(m: DataFrame, best_only: bool = False, metric: str = "f_meas"
     """Mean with one standard error either way per metric and (model, config), and its rank within that
     metric: the data behind model comparison charts. `best_only` keeps each model's best config by `metric`."""
     if best_only:
+        m = m.persist()
         best = select_best(m, metric).select("outcome", "model", "config")
         m = m.join(best, ["outcome", "model", "config"], "left_semi")
     order = W.partitionBy("outcome", "metric").orderBy(F.desc_nulls_last("mean"), "model", "config")
