@@ -29,9 +29,10 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(x: object) -> object:
+    """One form for values that only differ in type between the engines."""
     if isinstance(x, float) and math.isnan(x):
         return "nan"
-    if isinstance(x, float) and x == int(x) if isinstance(x, float) and math.isfinite(x) else False:
+    if isinstance(x, float) and math.isfinite(x) and x == int(x):
         return int(x)
     return x
 
@@ -81,7 +82,7 @@ def main() -> int:
             else:
                 result = f"ok rows-only {len(df.collect())}"
         except Exception as e:  # report and go on with the next query
-            result = f"error {type(e).__name__}: {str(e).replace(chr(10), " ")[:int(sys.argv.count("-v") or 0) * 20000 or 300]}"
+            result = f"error {type(e).__name__}: {str(e).replace(chr(10), " ")[:300]}"
             if len(a.names) == 1:
                 traceback.print_exc()
         spark.catalog.clearCache()
