@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import simhash
+from textlabel.llm import decontaminate, simhash, url_filter, warc
+from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +33,70 @@ def hex64(c: Column | str) -> Column:
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf, "documents"), width=3, max_distance=2)
     return out.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
+
+
+@register
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), length=10)
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_SQL_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+SQL["op7_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN g ON g.n = p.n AND g.gram = array_to_string(w[i : i + p.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+      array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@register
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_table_path(spark, "archive")
+    warc.write_archive(table(spark, sf, "pages"), path, min_revisit_bytes=0)
+    out = warc.read_archive(spark, path)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS newest, sha1(body) AS hex FROM p)
+SELECT page_id, octet_length(body) AS payload_bytes,
+    translate(array_to_string(list_transform(range(8), lambda i: to_base(CAST('0x' || hex[5 * i + 1 : 5 * i + 5] AS BIGINT), 32, 4)), ''),
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+    CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < newest THEN newest END AS refers_to, true AS intact
+FROM r
+"""
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's outcome is the quality label of the document whose number its url carries."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", r"^.*?://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
+    numbered = pages.filter(number != "").select("page_id", number.cast("long").alias("doc_id"))
+    outcomes = numbered.join(table(spark, sf, "labels"), "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
