@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import decontaminate, simhash, url_filter, warc
+from textlabel.llm import decontaminate, pieces, simhash, url_filter, warc
 from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,20 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     numbered = pages.filter(number != "").select("page_id", number.cast("long").alias("doc_id"))
     outcomes = numbered.join(table(spark, sf, "labels"), "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
     return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Per document the number of ids and digests of ids and decoded text."""
+    import public_tokenizers
+
+    out = pieces.encode_decode(docs, model or str(public_tokenizers.path("piece_bpe_32k.model")), end=True)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_digests(table(spark, sf, "documents"))
