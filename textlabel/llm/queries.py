@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import decontaminate, pieces, simhash, url_filter, warc
+from textlabel.llm import decontaminate, pieces, secrets, simhash, sketch, url_filter, warc
 from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,27 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 @register
 def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return piece_digests(table(spark, sf, "documents"))
+
+
+@register
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"), rate=0.05).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["name"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@register
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sketch.compare_with_edits(table(spark, sf, "documents"), width=5, one_in=8)
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_in_edited"),
+    )
