@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import decontaminate, pieces, secrets, simhash, sketch, url_filter, warc
+from textlabel.llm import decontaminate, language, pieces, quality, secrets, simhash, sketch, url_filter, warc
 from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,35 @@ def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_in_edited"),
     )
+
+
+def id_remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@register
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs.filter(id_remainder(4) != 2))
+    out = language.identify(docs, model)
+    held = F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf: str) -> quality.CompressionClassifier:
+    """Learned from labels of ids whose remainder by three is not 1."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("_id"), "quality").filter(id_remainder_of("_id", 3) != 1)
+    labelled = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
+    return quality.fit(labelled)
+
+
+def id_remainder_of(col: str, n: int) -> Column:
+    return F.crc32(F.col(col).cast("string")) % n
+
+
+@register
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = quality.score(docs, quality_model(spark, docs, sf))
+    held = F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score", "predicted")
