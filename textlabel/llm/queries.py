@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import decontaminate, language, pieces, quality, secrets, simhash, sketch, url_filter, warc
+from textlabel.llm import decontaminate, language, passages, pieces, quality, secrets, simhash, sketch, url_filter, warc
 from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,8 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.score(docs, quality_model(spark, docs, sf))
     held = F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out")
     return out.select("doc_id", held, "score", "predicted")
+
+
+@register
+def op2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents"), min_words=20, width=5, threshold=0.8)
