@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textlabel.session import settle
 
@@ -76,7 +74,7 @@ def fit(
     The halves of the rows by hash of their id serve one purpose each, so that no text is scored with a dictionary it is in.
     From the first half at most `samples` documents of each label, in order of a hash of their ids, give one hash-chosen
     piece of `sample_bytes` each to train that label's dictionary (at most 2 x samples x sample_bytes come to the driver). From the
-    second half at most `calibration_rows` of each label calibrate the score by a logistic regression on the compressed sizes.
+    second half about `calibration_rows` of each label (chosen by hash) calibrate the score by a logistic regression on the compressed sizes.
     Rows without label or text are left out. If a label is missing, the score is constant: the smoothed share of label 1.
     """
     rows = labelled.select(
@@ -103,36 +101,35 @@ def fit(
         limit = int(-(1 << 63) + share * (1 << 64)) - 1 if share < 1 else (1 << 63) - 1
         part = rows.filter((F.col("half") == 1) & (F.col("y") == label) & (F.xxhash64("draw", F.lit(13)) <= limit))
         calibration = part if calibration is None else calibration.unionByName(part)
-    measured = settle(_measured(calibration.select("y", "text"), found[1], found[0]), "calibration")
+    measured = settle(_measured(calibration.select("y", "text"), found[1], found[0]).select("y", "f"), "calibration")
     # Sampled labels get back the weight of the rows they stand for.
-    weight = F.when(F.col("key") == 1, max(1.0, shares[1, 1] / calibration_rows)).otherwise(max(1.0, shares[1, 0] / calibration_rows))
+    weight = F.when(F.col("y") == 1, max(1.0, shares[1, 1] / calibration_rows)).otherwise(max(1.0, shares[1, 0] / calibration_rows))
     model = LogisticRegression(regParam=1e-4, maxIter=100, weightCol="w").fit(
-        measured.select(F.col("key").cast("double").alias("label"), array_to_vector("f").alias("features"), weight.alias("w"))
+        measured.select(F.col("y").cast("double").alias("label"), array_to_vector("f").alias("features"), weight.alias("w"))
     )
     return CompressionClassifier(found[1], found[0], float(model.intercept), [float(x) for x in model.coefficients])
 
 
-def _measured(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """(key, f) of a table of a key and a text column. The dictionaries travel as one broadcast of bounded size."""
+def _measured(rows: DataFrame, good: bytes, bad: bytes, text_col: str = "text", out_col: str = "f") -> DataFrame:
+    """`rows` with the measurements of their texts. The dictionaries travel as one broadcast of bounded size, and only texts
+    go to the workers; all other columns stay where they are."""
     shared = rows.sparkSession.sparkContext.broadcast((good, bad))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = features(batch.column(1).to_pylist(), *shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(f), pa.list_(pa.float64()))], names=["key", "f"])
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(features(list(texts), *shared.value)))
 
-    key = T.StructField("key", rows.schema[0].dataType)
-    return rows.mapInArrow(each, T.StructType([key, T.StructField("f", T.ArrayType(T.DoubleType()))]))
+    return rows.withColumn(out_col, F.pandas_udf(each, "array<double>")(F.col(f"`{text_col}`")))
 
 
-def score(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, predicted): the calibrated chance of label 1 of every whole text; predicted is 1 from 0.5 on.
+def with_score(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """`docs` with `out_col`: the calibrated chance (0 to 1) that the label of the whole text is 1.
 
-    Row-local; only the id and text columns are read. NULL and empty texts compress to nothing and get the score of
-    all-zero measurements. Repeated rows and NULL ids are scored like others."""
-    measured = _measured(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), model.good, model.bad)
+    Row-local; all columns are kept, `out_col` must be new. NULL and empty texts compress to nothing and get the score of
+    all-zero measurements. Repeated rows are scored alike; an empty table gives no rows."""
+    if out_col in docs.columns:
+        raise ValueError(f"column {out_col} exists")
+    measured = _measured(docs, model.good, model.bad, text_col, "_sizes")
     z = F.lit(model.intercept)
     for i, w in enumerate(model.weights):
-        z = z + F.lit(w) * F.col("f")[i]
-    out = measured.select(F.col("key").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        z = z + F.lit(w) * F.col("_sizes")[i]
+    return measured.withColumn(out_col, 1 / (1 + F.exp(-z))).drop("_sizes")

@@ -194,3 +194,17 @@ def near_duplicates(
     classes = grouped.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     out = prints.join(classes, F.col("fp") == F.col("_fp"))
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that stand for their class: those whose id is the class's component id.
+
+    Of rows that repeat an id one stays. A row without id stays, as nothing tells which row of its class it is."""
+    gone = classes.filter(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    ids = classes.filter(F.col(f"`{id_col}`") == F.col("component_id")).groupBy(F.col(f"`{id_col}`").alias("_again"))
+    again = settle(ids.agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    same = F.col(f"`{id_col}`") == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
