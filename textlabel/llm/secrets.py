@@ -95,16 +95,16 @@ def _log_p(p: Column) -> Column:
     return F.log(F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0)))
 
 
-def _battery(values: Column, k: int) -> Column:
-    """Combined p-value under "each symbol is drawn alike and independently from k symbols".
+def _battery(values: Column, size: Column) -> Column:
+    """Combined p-value under "each symbol is drawn alike and independently from an alphabet of this size".
 
     Chi-squared for uniformity (too uneven only), number of runs in the lower and upper half of the alphabet
     and correlation of neighbours (both two-sided), each standardised with its exact mean and variance, joined by Fisher's sum."""
 
-    def p_of(v: Column) -> Column:
-        n = F.size(v).cast("double")
+    def p_of(x: Column) -> Column:
+        v, k, n = x["v"], x["k"], F.size(x["v"]).cast("double")
         squares = F.aggregate(
-            F.array_distinct(v), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(v, lambda x: x == s)).cast("double"), 2)
+            F.array_distinct(v), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(v, lambda y: y == s)).cast("double"), 2)
         )
         uneven = (squares * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
         left, right = F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1)
@@ -113,28 +113,41 @@ def _battery(values: Column, k: int) -> Column:
         mean, var = (k - 1) / 2, (k * k - 1) / 12
         products = F.zip_with(left, right, lambda a, b: (a - mean) * (b - mean))
         serial = F.aggregate(products, F.lit(0.0), lambda acc, c: acc + c) / (F.sqrt(n - 1) * var)
-        s = -(
-            _log_p(_upper_tail(uneven)) + _log_p(2 * _upper_tail(F.abs(runs))) + _log_p(2 * _upper_tail(F.abs(serial)))
-        )
-        return F.exp(-s) * (1 + s + s * s / 2)
+        tails = F.array(uneven, F.abs(runs), F.abs(serial))
+        sides = F.array(F.lit(1.0), F.lit(2.0), F.lit(2.0))
+        logs = F.zip_with(tails, sides, lambda z, side: -_log_p(side * _upper_tail(z)))
+        total = F.aggregate(logs, F.lit(0.0), lambda acc, y: acc + y)
+        return _let(total, lambda s: F.exp(-s) * (1 + s + s * s / 2))
+
+    return _let(F.struct(values.alias("v"), size.cast("double").alias("k")), p_of)
 
-    return _let(values, p_of)
+
+def _encoding_of(core: Column) -> Column:
+    """(name, alphabet) of the narrowest encoding that a token can be; NULL for words, numbers and what fits none."""
+    out = F.lit(None).cast("struct<name:string,alphabet:string>")
+    for name, pattern, alphabet in reversed(ENCODINGS):
+        out = F.when(core.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"))).otherwise(out)
+    return F.when(~core.rlike(PLAIN), out)
 
 
 def tested_tokens(text: Column) -> Column:
-    """array<struct<start,end,value,band,p>>: candidates with the encoding and length class they are compared in."""
+    """array<struct<start,end,band,p>>: candidates with the encoding and length class they are compared in."""
 
     def tested(m: Column) -> Column:
         core = F.translate(F.regexp_replace(m["value"], "=+$", ""), "-_", "+/")
-        out = F.lit(None).cast("struct<band:string,p:double>")
-        for name, pattern, alphabet in reversed(ENCODINGS):
-            symbols = F.array_remove(F.split(core, ""), "")
-            values = F.transform(symbols, lambda c: (F.position(c, F.lit(alphabet)) - 1).cast("double"))  # noqa: B023
-            band = F.concat(F.lit(f"{name}:"), F.floor(F.log2(F.char_length(core).cast("double")) * 2).cast("string"))
-            now = F.struct(band.alias("band"), _battery(values, len(alphabet)).alias("p"))
-            out = F.when(core.rlike(pattern), now).otherwise(out)
-        result = F.when(~core.rlike(PLAIN), out)
-        return _let(result, lambda t: F.struct(m["start"].alias("start"), m["end"].alias("end"), t["band"].alias("band"), t["p"].alias("p")))
+
+        def judged(x: Column) -> Column:
+            alphabet = x["e"]["alphabet"]
+            symbols = F.array_remove(F.split(x["core"], ""), "")
+            values = F.transform(symbols, lambda c: (F.position(c, alphabet) - 1).cast("double"))
+            half_steps = F.floor(F.log2(F.char_length(x["core"]).cast("double")) * 2).cast("string")
+            return F.struct(
+                m["start"].alias("start"), m["end"].alias("end"),
+                F.concat(x["e"]["name"], F.lit(":"), half_steps).alias("band"),
+                F.when(alphabet.isNotNull(), _battery(values, F.char_length(alphabet))).alias("p"),
+            )
+
+        return _let(_let(core, lambda c: F.struct(c.alias("core"), _encoding_of(c).alias("e"))), judged)
 
     return F.filter(F.transform(matches(text, CANDIDATE), tested), lambda t: t["p"].isNotNull())
 
