@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlabel.llm import decontaminate, quality, queries, secrets, simhash
+from textlabel.llm.names import fresh
 from textlabel.session import settle
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores below 0.5 go."""
     model = queries.quality_model(spark, docs, sf_dir)
-    return quality.with_score(docs, model, out_col="_score").filter("_score >= 0.5").drop("_score")
+    score = fresh(docs, "score")
+    return quality.with_score(docs, model, out_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +27,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     digest = F.md5(F.coalesce("text", F.lit("")))
     items = queries.table(spark, sf_dir, "benchmark")
     judged = decontaminate.contamination(docs.select(digest.alias("digest"), "text"), items, id_col="digest", length=10)
-    gone = judged.filter("contaminated").select(F.col("digest").alias("_digest")).distinct()
-    return docs.join(gone, digest == F.col("_digest"), "left_anti")
+    gone = fresh(docs, "gone")
+    bad = judged.filter("contaminated").select(F.col("digest").alias(gone)).distinct()
+    return docs.join(bad, digest == F.col(gone), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; `n_chars` follows the text where it changes."""
-    found = secrets.find_secrets(docs, rate=0.05, out_col="_spans")
-    clean = found.withColumn("_clean", secrets.redact(F.col("text"), F.col("_spans")))
-    chars = F.when(F.size("_spans") > 0, F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", chars).withColumn("text", F.col("_clean")).select(*docs.columns)
+    spans = fresh(docs, "spans")
+    found = secrets.find_secrets(docs, rate=0.05, out_col=spans)
+    clean = secrets.redact(F.col("text"), F.col(spans))
+    changed = F.size(spans) > 0
+    chars = F.when(changed, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns({"n_chars": chars, "text": clean}).drop(spans)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlabel.llm.components import connected_components
+from textlabel.llm.names import column, fresh
 from textlabel.session import settle
 
 _LINE = re.compile(r"[^\n]+")
@@ -230,14 +231,17 @@ def repeated_passages(
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the removed passages cut out of their texts; rows without any stay as they are."""
-    gone = passages.filter("removed").groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    text = F.col(f"`{text_col}`")
+    gone_col, key = fresh(docs, "gone"), fresh(docs, "cut_id")
+    spots = F.array_sort(F.collect_set(F.struct("start", "end")))
+    gone = passages.filter("removed").groupBy(column(id_col).alias(key)).agg(spots.alias(gone_col))
+    text = column(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
         return F.struct(kept.alias("out"), s["end"].alias("at"))
 
-    cut = F.aggregate("_gone", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    joined = docs.join(gone, id_col, "left")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(cut)).select(*docs.columns)
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    cut = F.aggregate(gone_col, start, step, rest)
+    joined = docs.join(gone, column(id_col).eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(text_col, F.when(F.col(gone_col).isNull(), text).otherwise(cut)).drop(gone_col, key)

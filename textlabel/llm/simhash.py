@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlabel.llm.components import connected_components
+from textlabel.llm.names import column, fresh
 from textlabel.session import settle
 
 BITS = 64
@@ -200,11 +201,12 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> Dat
     """The rows of `docs` that stand for their class: those whose id is the class's component id.
 
     Of rows that repeat an id one stays. A row without id stays, as nothing tells which row of its class it is."""
-    gone = classes.filter(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    ids = classes.filter(F.col(f"`{id_col}`") == F.col("component_id")).groupBy(F.col(f"`{id_col}`").alias("_again"))
-    again = settle(ids.agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"), "repeated-ids")
+    key, away, more = column(id_col), fresh(docs, "gone"), fresh(docs, "again")
+    gone = classes.filter(key != F.col("component_id")).select(key.alias(away)).distinct()
+    kept = docs.join(gone, key == F.col(away), "left_anti")
+    ids = classes.filter(key == F.col("component_id")).groupBy(key.alias(more))
+    again = settle(ids.agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(more), "repeated-ids")
     if again.isEmpty():
         return kept
-    same = F.col(f"`{id_col}`") == F.col("_again")
+    same = key == F.col(more)
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -23,10 +23,10 @@ def sketch(text: Column, width: int = 5, one_in: int = 8) -> Column:
     shingle. A text of which no hash is low enough keeps its smallest one, so that it can still be told from others. NULL
     and wordless texts have an empty sketch. The sketch of a union of shingle sets is the union of their sketches (less the
     smallest hashes kept for want of others), so sketches of parts can be merged."""
-    limit = LOWEST + (1 << 64) // one_in
+    highest = LOWEST + (1 << 64) // one_in - 1
 
     def low(hashes: Column) -> Column:
-        kept = F.filter(hashes, lambda h: h < limit)
+        kept = F.filter(hashes, lambda h: h <= highest)
         return F.when(F.size(kept) > 0, F.array_sort(F.array_distinct(kept))).otherwise(
             F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
         )

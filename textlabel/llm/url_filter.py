@@ -33,57 +33,52 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def domain_of(host: Column, labels: int = 2) -> Column:
-    """The last `labels` labels of a host; a shorter host is its own domain."""
+def last_labels(host: Column, labels: int) -> Column:
+    """The last `labels` labels of a host; a shorter host as it is."""
     return F.substring_index(host, ".", -labels)
 
 
-def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645) -> DataFrame:
+def _weight(level: DataFrame) -> float:
+    """Pseudo-pages of a beta prior, from how far the groups (n, k) of a level scatter about their expected rate `p`
+    beyond binomial noise: E[(k - n p)^2] = n p (1 - p) (1 + (n - 1) rho), rho over all groups, weight 1 / rho - 1."""
+    p, n, k = F.col("p"), F.col("n"), F.col("k")
+    noise = n * p * (1 - p)
+    over, scale = level.filter("n > 1").agg(F.sum(F.pow(k - n * p, 2) - noise), F.sum(noise * (n - 1))).first()
+    rho = over / scale if scale else 0.0
+    return min(1000.0, max(1.0, 1.0 / rho - 1.0)) if rho > 0 else 1000.0
+
+
+def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.645, suffix_labels: int = 1) -> DataFrame:
     """(host, n, n_bad, mean, lower): how likely a page of each host is bad, shrunk through its domain and suffix.
 
-    `outcomes` has one row per labelled page, `bad` is 0 or 1. Counts go up host, registered domain (the last
-    three labels), suffix (the last two), everything. On each level a beta prior is centred on the estimate one level up; its
-    weight comes from how far the groups of that level scatter beyond binomial noise (moments of the
-    beta-binomial, between 1 and 1,000 pseudo-pages). `lower` is the posterior mean less z posterior deviations.
-    Rows with a NULL host or label are left out. Groups are counted before any join, so a host with a third
-    of all pages is one row.
+    `outcomes` has one row per labelled page, `bad` is 0 or 1. A suffix is the last `suffix_labels` labels of a host, its
+    registered domain has one more. On each level a beta prior is centred on the estimate one level up, made from the pages that
+    are not of the group itself, so that no page speaks twice; its weight (1 to 1,000 pseudo-pages) comes from the scatter of the
+    level's groups. `lower` is the posterior mean less z posterior deviations. Rows with a NULL host or label are left out.
+    Groups are counted before any join, so a host with a third of all pages is one row; one number a level comes to the driver.
     """
-    pages = outcomes.select(F.col(f"`{host}`").alias("host"), F.col(f"`{bad}`").cast("double").alias("bad")).filter(
-        "host is not null and bad is not null"
-    )
-    hosts = settle(
-        pages.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").alias("k"))
-        .withColumn("domain", domain_of(F.col("host"), 3)).withColumn("suffix", domain_of(F.col("host"), 2)),
-        "host-counts",
-    )
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
-    base = (total[1] + 0.5) / (total[0] + 1.0)
-
-    def shrink(level: DataFrame, key: str) -> DataFrame:
-        """`level` has key, n, k, prior (mean one level up); adds weight, mean."""
-        p = F.col("prior")
-        # E[(k - n p)^2] = n p (1 - p) (1 + (n - 1) rho); rho is estimated over all groups of the level.
-        over = level.filter("n > 1").agg(
-            F.sum(F.pow(F.col("k") - F.col("n") * p, 2) - F.col("n") * p * (1 - p)), F.sum(F.col("n") * (F.col("n") - 1) * p * (1 - p))
-        ).first()
-        rho = over[0] / over[1] if over[1] else 0.0
-        weight = min(1000.0, max(1.0, 1.0 / rho - 1.0)) if rho > 0 else 1000.0
-        mean = (F.col("k") + F.lit(weight) * p) / (F.col("n") + F.lit(weight))
-        return level.withColumn("weight", F.lit(weight)).withColumn("mean", mean)
-
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("prior", F.lit(base))
-    suffixes = settle(shrink(suffixes, "suffix"), "suffix-rates")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")
-    domains = settle(shrink(domains, "domain"), "domain-rates")
-    level = hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain")
-    out = shrink(settle(level, "host-priors"), "host")
-    size = F.col("n") + F.col("weight") + 1
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / size)
-    return out.select(
-        "host", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("n_bad"), "mean",
-        (F.col("mean") - F.lit(z) * spread).alias("lower"),
+    pages = outcomes.select(F.col(f"`{host}`").alias("host"), F.col(f"`{bad}`").cast("double").alias("bad"))
+    counts = pages.filter("host is not null and bad is not null").groupBy("host").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").alias("k")
     )
+    domain, suffix = last_labels(F.col("host"), suffix_labels + 1), last_labels(F.col("host"), suffix_labels)
+    hosts = settle(counts.withColumns({"domain": domain, "suffix": suffix}), "host-counts")
+    total_n, total_k = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    table = settle(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix"), "host-levels")
+
+    c = F.col
+    top = (total_k - c("sk") + 0.5) / (total_n - c("sn") + 1)
+    w_suffix = _weight(table.select("suffix", c("sn").alias("n"), c("sk").alias("k"), top.alias("p")).distinct())
+    of_suffix = (c("sk") - c("dk") + w_suffix * top) / (c("sn") - c("dn") + w_suffix)
+    w_domain = _weight(table.select("domain", "suffix", c("dn").alias("n"), c("dk").alias("k"), of_suffix.alias("p")).distinct())
+    of_domain = (c("dk") - c("k") + w_domain * of_suffix) / (c("dn") - c("n") + w_domain)
+    w_host = _weight(table.select("n", "k", of_domain.alias("p")))
+    mean = (c("k") + w_host * of_domain) / (c("n") + w_host)
+    out = table.select("host", c("n").cast("long").alias("n"), c("k").cast("long").alias("n_bad"), mean.alias("mean"))
+    spread = F.sqrt(c("mean") * (1 - c("mean")) / (c("n") + w_host + 1))
+    return out.withColumn("lower", c("mean") - F.lit(z) * spread)
 
 
 def judge(
@@ -94,6 +89,7 @@ def judge(
     url_col: str = "url",
     block_above: float = 0.5,
     z: float = 1.645,
+    suffix_labels: int = 1,
 ) -> DataFrame:
     """(id_col, host, path, rule, verdict, reputation): one row per page row.
 
@@ -108,7 +104,7 @@ def judge(
     parts = settle(parts.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)), "url-parts")
     known = outcomes.select(F.col(f"`{id_col}`").alias("_id"), F.col("bad"))
     labelled = parts.filter("host <> ''").join(known, F.col("id") == F.col("_id")).select("host", "bad")
-    rated = reputation(labelled, z=z).select(F.col("host").alias("_host"), "lower", "mean")
+    rated = reputation(labelled, z=z, suffix_labels=suffix_labels).select(F.col("host").alias("_host"), "lower", "mean")
     blocked = F.when(F.col("lower") > block_above, "block").otherwise("allow")
     out = parts.join(rated, F.col("host") == F.col("_host"), "left")
     return out.select(
