@@ -6,12 +6,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,6 @@ PAGE_CHARS = 1 << 24
 BLOCK_CHARS = 1 << 20
 # Distinct chunks are segmented in groups; one group for each so many characters of the corpus, at least one a task.
 CHARS_PER_GROUP = 1 << 24
-_LIST_LIMIT = 1 << 16
 
 
 @cache
@@ -40,6 +40,8 @@ def _plan(model: str) -> str:
     inner = [i for i in range(sp.get_piece_size()) if MARK in sp.id_to_piece(i).lstrip(MARK)]
     if inner:
         raise ValueError(f"pieces of {model} cross word marks, such as {sp.id_to_piece(inner[0])!r}")
+    if sp.piece_to_id(MARK) == sp.unk_id():
+        raise ValueError(f"{model} has no piece for a mark alone")
     if sp.normalize("a") != f"{MARK}a" or sp.normalize("  a ") != MARK * 3 + "a" + MARK:
         raise ValueError(f"{model} does not keep blanks or adds no mark before a text")
     return "marked"
@@ -51,23 +53,26 @@ def chunks(model: str, text: str) -> list[str]:
 
 
 def segment(model: str, words: list[str]) -> list[list[int]]:
-    """Ids of each marked word: the mark before it is the one that `encode` adds to a text."""
-    return processor(model).encode([w[1:] for w in words], num_threads=1)
+    """Ids of each marked word: its first mark is the one that `encode` adds to a text. A mark alone is its own piece, as
+    the library adds none to an empty text."""
+    sp = processor(model)
+    found = sp.encode([w[1:] for w in words], num_threads=1)
+    return [[sp.piece_to_id(MARK)] if w == MARK else ids for w, ids in zip(words, found)]
 
 
 def _pages(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(page number, ids, texts) in pieces of at most a block; the same for every run over a partition."""
-    context = TaskContext.get()
-    page = ((context.partitionId() if context else 0) << 32) - 1
-    in_page, held, ids, texts = PAGE_CHARS, 0, [], []
+    """(page key, ids, texts) in pieces of at most a block. The key is a hash of the page's first row, so it is the same in
+    every pass over a partition, wherever its task stands in a plan; pages that share a key share their tables."""
+    page, in_page, held, ids, texts = 0, PAGE_CHARS, 0, [], []
     for batch in rows:
         for key, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py() or ""
+            key, text = key.as_py(), text.as_py() or ""
             if in_page >= PAGE_CHARS:
                 if ids:
                     yield page, ids, texts
-                page, in_page, held, ids, texts = page + 1, 0, 0, [], []
-            ids.append(key.as_py())
+                page = xxhash.xxh3_64_intdigest(text.encode(), xxhash.xxh32_intdigest(repr(key))) - (1 << 63)
+                in_page, held, ids, texts = 0, 0, [], []
+            ids.append(key)
             texts.append(text)
             in_page += len(text) + 1
             held += len(text) + 1
@@ -175,57 +180,34 @@ def _join_back(model: str, key_type: pa.DataType, end: int | None):
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
-        current, slots, flat, starts = None, {}, [], []
-        table = None
-
-        def ready():
-            nonlocal table
-            if table is None:
-                ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-                sizes = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-                table = ids, sizes, np.concatenate([[0], np.cumsum(sizes)])
-            return table
-
-        def encode(text: str) -> np.ndarray:
+        current, table = None, {}
+
+        def encode(text: str) -> list[int]:
             words = chunks(model, text)
-            at = [slots.get(w, -1) for w in words]
-            at = np.array(at, np.int64)
-            missing = np.nonzero(at < 0)[0]
-            if len(missing):  # not in the table of its page: segmented here
-                new = list(dict.fromkeys(words[i] for i in missing))
-                for w, found in zip(new, segment(model, new)):
-                    slots[w] = len(slots)
-                    flat.append(np.array(found, np.int32))
-                    starts.append(np.array([len(found)], np.int64))
-                nonlocal table
-                table = None
-                at[missing] = [slots[words[i]] for i in missing]
-            ids, sizes, offsets = ready()
-            n = sizes[at]
-            total = int(n.sum())
-            first = np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n)
-            out = ids[first + np.arange(total)] if total else np.zeros(0, np.int32)
-            return out if end is None else np.append(out, np.int32(end))
+            missing = [w for w in dict.fromkeys(words) if w not in table]
+            if missing:  # not in the table of its page: segmented here
+                table.update(zip(missing, segment(model, missing)))
+            ids = list(chain.from_iterable(map(table.__getitem__, words)))
+            return ids if end is None else [*ids, end]
 
         for batch in rows:
-            page_of, packed_words = batch.column(0).to_pylist(), batch.column(2)
-            for r, page in enumerate(page_of):
+            for r, page in enumerate(batch.column(0).to_pylist()):
                 if page != current:
-                    current, slots, flat, starts, table = page, {}, [], [], None
-                if packed_words[r].is_valid:
-                    for w in _unpacked(packed_words[r].as_py()).decode().split("\0"):
-                        slots[w] = len(slots)
-                    starts.append(np.frombuffer(_unpacked(batch.column(3)[r].as_py()), np.int32).astype(np.int64))
-                    flat.append(np.frombuffer(_unpacked(batch.column(4)[r].as_py()), np.int32))
-                    table = None
+                    current, table = page, {}
+                if batch.column(2)[r].is_valid:
+                    packed, sizes, ids = (batch.column(c)[r].as_py() for c in (2, 3, 4))
+                    ends = np.cumsum(np.frombuffer(_unpacked(sizes), np.int32)).tolist()
+                    ids = np.frombuffer(_unpacked(ids), np.int32).tolist()
+                    words = _unpacked(packed).decode().split("\0")
+                    table.update((w, ids[a:b]) for w, a, b in zip(words, [0, *ends], ends))
                     continue
                 keys, lens = batch.column(5)[r].as_py(), batch.column(6)[r].as_py()
                 data, done, found, decoded = _unpacked(batch.column(7)[r].as_py()), 0, [], []
                 for size in lens:
                     ids = encode(data[done : done + size].decode())
                     done += size
-                    found.append(ids)
-                    decoded.append(sp.decode(ids.tolist()))
+                    found.append(np.array(ids, np.int32))
+                    decoded.append(sp.decode(ids))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
