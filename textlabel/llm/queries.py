@@ -94,12 +94,13 @@ URL_RULES = [
 
 @register
 def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """A page's outcome is the quality label of the document whose number its url carries."""
+    """A page's outcome is the quality label of the document whose number its url carries. All hosts lie under
+    example.com, .net or .org, which are the suffixes here."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     number = F.regexp_extract("url", r"^.*?://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
     numbered = pages.filter(number != "").select("page_id", number.cast("long").alias("doc_id"))
     outcomes = numbered.join(table(spark, sf, "labels"), "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
-    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, outcomes, URL_RULES, suffix_labels=2).select("page_id", "host", "path", "rule", "verdict")
 
 
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -158,13 +159,7 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf: str) -> quality.CompressionClassifier:
     """Learned from labels of ids whose remainder by three is not 1."""
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("_id"), "quality").filter(id_remainder_of("_id", 3) != 1)
-    labelled = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
-    return quality.fit(labelled)
-
-
-def id_remainder_of(col: str, n: int) -> Column:
-    return F.crc32(F.col(col).cast("string")) % n
+    return quality.fit(docs, table(spark, sf, "labels").filter(id_remainder(3) != 1))
 
 
 @register
