@@ -57,7 +57,7 @@ def test_condensed_pattern_equals_plain_alternation(spark, whole):
 
 
 def test_regular_expressions_stay_terms():
-    assert alternation(["a.c", "b+"]) == "(?i)a.c|b+"
+    assert alternation(["a.c", "b+"]) == "(?iu)a.c|b+"
 
 
 def test_race_rules(spark, rows):

@@ -57,15 +57,17 @@ def test_stop_word_lists(spark, tmp_path):
 
 
 def test_spread_only_small_inputs_in_few_files(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "my data" / "one"))
     spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
-    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
-    assert tables.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables.spread(many, "id") is many
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("my data/one", "many"))
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(one).rdd.getNumPartitions() == cores
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "10b")
     try:
-        assert tables.spread(one, "id") is one
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert tables.spread(many) is many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        assert sorted(r.id for r in tables.spread(one).collect()) == list(range(100))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 

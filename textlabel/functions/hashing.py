@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,17 @@ def unit(seed: object, key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
 
 
-# Cumulative probabilities of a Poisson variable with mean one.
-POISSON_CUTS = [0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941]
+def _poisson_cuts() -> list[float]:
+    """Cumulative probabilities of a Poisson variable with mean one, as far as the 32 bits of `unit` reach."""
+    cuts, term, total = [], math.exp(-1.0), 0.0
+    while total < 1.0 - 2.0**-32:
+        total += term
+        term /= len(cuts) + 1
+        cuts.append(total)
+    return cuts
+
+
+POISSON_CUTS = _poisson_cuts()
 
 
 def poisson_weight(u: Column) -> Column:

@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word keeps inner apostrophes and dots ("can't", "4.5"); Java's \w is ASCII only, hence the classes.
-WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# A word keeps inner apostrophes and dots ("can't", "4.5"), and a number its inner commas ("1,000"). Java's \w is
+# ASCII only, hence the classes. Repeated groups are possessive: a plain one recurses once for each repeat, and a
+# text such as "a.a.a." of a few kilobytes would overflow the stack.
+_RUN = r"[\p{L}\p{M}\p{N}_]"
+_JOINED = rf"(?:['’.]{_RUN}+)*+"
+WORD = rf"\p{{N}}+(?:,\p{{N}}+)++{_RUN}*{_JOINED}|{_RUN}+{_JOINED}"
 # What `\w+` means to a Unicode-aware engine.
 WORD_RUN = r"[\p{L}\p{M}\p{N}_]+"
 # Each mark that is neither blank nor part of a word.
@@ -95,7 +99,7 @@ def alternation(terms: Sequence[str], whole_word: bool = False) -> str:
     if whole_word:
         edge = r"[^\p{L}\p{M}\p{N}_]"
         body = f"(?:^|{edge})(?:{body})(?:{edge}|$)"
-    return "(?i)" + body
+    return "(?iu)" + body
 
 
 def has_any(text: Column | str, terms: Sequence[str], whole_word: bool = False) -> Column:

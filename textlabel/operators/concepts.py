@@ -16,7 +16,8 @@ from textlabel.functions.text import ngram_array, tokenize
 from textlabel.operators.joins import lookup_join
 
 CONCEPT = ["entity", "cui", "semantic_type"]
-MAX_WORDS = 16
+# More different alias lengths than this are made by one loop over them instead of one expression for each.
+UNROLLED_LENGTHS = 8
 
 
 def _words(text: Column | str) -> Column:
@@ -41,7 +42,16 @@ def surface_grams(df: DataFrame, id_col: str, text: str, lengths: Sequence[int])
             lambda gram, i: F.struct(i.cast("long").alias("pos"), F.lit(n).alias("n_words"), gram.alias("gram")),
         )
 
-    grams = F.concat(*[placed(n) for n in lengths])
+    def placed_all(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        gram = lambda i: F.array_join(F.slice("_w", i, n), " ")
+        rows = F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("pos"), n.alias("n_words"), gram(i).alias("gram")))
+        return F.when(F.size("_w") >= n, rows).otherwise(F.array().cast("array<struct<pos:bigint,n_words:int,gram:string>>"))
+
+    if len(lengths) > UNROLLED_LENGTHS:
+        grams = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), placed_all))
+    else:
+        grams = F.concat(*[placed(n) for n in lengths])
     return words.select(id_col, F.explode(grams).alias("g")).select(id_col, "g.pos", "g.n_words", "g.gram")
 
 
@@ -95,11 +105,9 @@ def annotate(
     kept. The lexicon is broadcast when its measured size allows it.
     """
     lex = normalise(lexicon)
-    # The lengths of aliases in words: a handful of numbers.
-    lengths = sorted(r["n_words"] for r in lex.select("n_words").distinct().limit(MAX_WORDS + 1).collect())
+    # The different lengths of aliases in words; one number each, whatever the size of the lexicon.
+    lengths = sorted(r["n_words"] for r in lex.select("n_words").distinct().collect())
     lengths = [n for n in lengths if n > 0]
-    if len(lengths) > MAX_WORDS:
-        raise ValueError(f"aliases of more than {MAX_WORDS} different lengths in words")
     grams = surface_grams(df, id_col, text, lengths)
     if threshold >= 1.0:
         found = lookup_join(grams, lex.drop("n_words"), "gram", spread=[id_col, "pos"])

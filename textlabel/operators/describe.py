@@ -30,7 +30,7 @@ def sorted_counts(counts: DataFrame) -> DataFrame:
 def freq_table(df: DataFrame, key: str, places: int = 1) -> DataFrame:
     """Rows and percentage of all rows per value of `key`, most frequent first."""
     counts = count_by(df, [key])
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = counts.agg(F.sum("n").alias("t")).scalar()
     share = F.round(ratio(F.col("n") * 100, total), places)
     return sorted_counts(counts.withColumn("percentage", share).select(key, "n", "percentage"))
 

@@ -41,10 +41,14 @@ def _token_rows(df: DataFrame, tokens: Column | str, *more: str) -> DataFrame:
     return marked.filter(F.col("z.t").isNotNull()).select(*more, F.col("z.t").alias("token"), new.alias("new"))
 
 
-def token_stats(df: DataFrame, tokens: Column | str) -> DataFrame:
-    """(token, n, df): occurrences and documents per token in one pass and one shuffle."""
-    rows = _token_rows(df, tokens)
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("df"))
+def token_stats(df: DataFrame, tokens: Column | str, weight: str | None = None) -> DataFrame:
+    """(token, n, df): occurrences and documents per token in one pass and one shuffle. A row with a whole-number
+    `weight` counts as that many rows."""
+    rows = _token_rows(df, tokens, *([weight] if weight else []))
+    if not weight:
+        return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("df"))
+    times = F.col(f"`{weight}`").cast("long")
+    return rows.groupBy("token").agg(F.sum(times).alias("n"), F.sum(F.col("new") * times).alias("df"))
 
 
 def fold_token_stats(df: DataFrame, tokens: Column | str, fold: str, v: int) -> list[DataFrame]:
@@ -125,12 +129,14 @@ class TfidfRecipe:
         vocab = fit_vocabulary(stats, self.min_times, self.max_tokens)
         return vocab.filter(~F.col("token").isin(list(self.stop))) if self.stop else vocab
 
-    def vocabulary(self, df: DataFrame) -> DataFrame:
+    def vocabulary(self, df: DataFrame, weight: str | None = None) -> DataFrame:
         """(token, n, df) of the features, in feature order."""
-        return self._kept(token_stats(df, self._tokens()))
+        return self._kept(token_stats(df, self._tokens(), weight))
 
-    def fit(self, df: DataFrame) -> TfidfModel:
-        return self._model(self.vocabulary(df), df.count())
+    def fit(self, df: DataFrame, weight: str | None = None) -> TfidfModel:
+        """Rows with a whole-number `weight` count as that many rows."""
+        rows = df.agg(F.sum(F.col(f"`{weight}`").cast("long"))).first()[0] or 0 if weight else df.count()
+        return self._model(self.vocabulary(df, weight), rows)
 
     def fit_folds(self, df: DataFrame, fold: str, v: int) -> list[TfidfModel]:
         """One model per fold, fitted on the rows of the other folds."""
@@ -211,8 +217,8 @@ class EmbeddingRecipe:
     def _tokens(self) -> Column:
         return tokenize(self.text, self.lower, self.strip_punct)
 
-    def fit(self, df: DataFrame) -> EmbeddingModel:
-        return self._model(token_stats(df, self._tokens()))
+    def fit(self, df: DataFrame, weight: str | None = None) -> EmbeddingModel:
+        return self._model(token_stats(df, self._tokens(), weight))
 
     def fit_folds(self, df: DataFrame, fold: str, v: int) -> list[EmbeddingModel]:
         """One model per fold, fitted on the rows of the other folds."""
@@ -319,7 +325,7 @@ class VectorRecipe:
     def inputs(self) -> list[str]:
         return [self.col]
 
-    def fit(self, df: DataFrame) -> VectorRecipe:
+    def fit(self, df: DataFrame, weight: str | None = None) -> VectorRecipe:
         return self
 
     def fit_folds(self, df: DataFrame, fold: str, v: int) -> list[VectorRecipe]:

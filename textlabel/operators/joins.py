@@ -12,20 +12,33 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def _width(field: T.StructField) -> Column:
-    col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        if isinstance(field.dataType.elementType, T.StringType):
-            return F.coalesce(F.octet_length(F.array_join(col, "")), F.lit(0)) + 16 * F.greatest(F.size(col), F.lit(0))
-        return 8 * F.greatest(F.size(col), F.lit(0)) + 16
-    return F.lit(16)
+# Of a type whose size is not known here: more than any bound, so that it is never broadcast.
+UNKNOWN_BYTES = 1 << 50
+
+
+def _width(col: Column, kind: T.DataType) -> Column:
+    """Bytes of one value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return (F.coalesce(F.octet_length(col), F.lit(0)) + 16).cast("long")
+    if isinstance(kind, T.ArrayType):
+        count = F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0)).cast("long")
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return 16 + 8 * count
+        return 16 + F.coalesce(
+            F.aggregate(col, F.lit(0).cast("long"), lambda acc, x: acc + _width(x, kind.elementType).cast("long")), F.lit(0)
+        )
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(col), T.ArrayType(kind.keyType)) + _width(F.map_values(col), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((_width(col[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)):
+        return F.lit(16).cast("long")
+    return F.lit(UNKNOWN_BYTES)
 
 
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows of `df` as counted by Spark, not as guessed by the planner."""
-    width = sum((_width(f) for f in df.schema.fields), F.lit(16))
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
     return df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
 
 

@@ -8,6 +8,8 @@ group. (After the pivot-based nearest-neighbour join of Lu, Shen, Chen and Ooi,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -195,4 +197,40 @@ def knn_vote(neighbours: DataFrame, k: int, kernel: str = "uniform") -> DataFram
     return scored.groupBy("query_id").agg((on_one / F.sum("_w")).alias("p1"))
 
 
-__all__ = ["BLOCK_ROWS", "KERNELS", "knn", "knn_vote"]
+def vote_in_place(train: list[tuple], k: int, kernel: str = "uniform") -> Callable[[Column], Column]:
+    """The share of `knn_vote` for a vector column, given all training rows (id, vector, label) of a bounded table.
+
+    The rows travel to the tasks once; queries are answered in batches where they lie, without ids, joins or shuffles.
+    """
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel must be one of {KERNELS}")
+    if not train:
+        raise ValueError("no training rows")
+    rows = sorted(train, key=lambda r: r[0])  # so that equal distances go by id
+    points, ones = np.array([r[1] for r in rows], dtype="float64"), np.array([r[2] == 1 for r in rows])
+    step = max(1, 2_000_000 // len(points))
+
+    def votes(vectors: np.ndarray) -> np.ndarray:
+        d = _distances(vectors, points)
+        best = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        near = np.take_along_axis(d, best, axis=1)
+        scale = near.max(axis=1, keepdims=True)
+        rel = np.divide(near, scale, out=np.zeros_like(near), where=scale > 0)[:, :k]
+        weight = {
+            "uniform": np.ones_like(rel),
+            "inverse": 1.0 / np.maximum(rel, 1e-6),
+            "triangular": np.maximum(1.0 - rel, 1e-6),
+            "gaussian": np.exp(-rel * rel / 2),
+        }[kernel]
+        return (weight * ones[best[:, :k]]).sum(axis=1) / weight.sum(axis=1)
+
+    @F.pandas_udf("double")
+    def share(vec: pd.Series) -> pd.Series:
+        all_rows = _matrix(vec)
+        parts = [votes(all_rows[i : i + step]) for i in range(0, len(all_rows), step)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+
+    return share
+
+
+__all__ = ["BLOCK_ROWS", "KERNELS", "knn", "knn_vote", "vote_in_place"]

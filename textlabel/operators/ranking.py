@@ -18,15 +18,19 @@ def with_buckets(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCK
     """Add `_bucket`, increasing with `order`, holding about `rows_per_bucket` rows each.
 
     The edges are approximate quantiles, which reach the driver as at most a few thousand numbers; they
-    only decide how evenly work is spread, never the result. Small inputs get one bucket.
+    only decide how evenly work is spread, never the result. Small inputs get one bucket. NaN counts as
+    larger than all numbers, with one bucket as with many.
     """
     rows = df.count()
-    wanted = min(-(-rows // rows_per_bucket), 5_000)
+    wanted = min(-(-rows // rows_per_bucket), 100_000)
     if wanted <= 1:
         return df.withColumn("_bucket", F.lit(0.0))
     edges = df.approxQuantile(order, [i / wanted for i in range(1, wanted)], 0.1 / wanted)
     splits = [float("-inf"), *sorted({e for e in edges if abs(e) != float("inf")}), float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
+    if len(splits) < 3:
+        return df.withColumn("_bucket", F.lit(0.0))
+    # "keep" puts NaN into a bucket of its own after the last.
+    return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(df)
 
 
 def running_totals(

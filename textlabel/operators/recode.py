@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -121,20 +122,18 @@ def with_order(df: DataFrame, by: Column | Sequence[Column], out: str = "ord") -
 def with_row_id(df: DataFrame, out: str = "row") -> DataFrame:
     """Row number (from 1) in file order, for files without a key of their own. Prefer a real key.
 
-    Meant for a plain file scan, whose partitions are the same each time it is read. One number per
-    partition comes to the driver; rows get theirs without a shuffle.
+    Meant for a plain file scan, whose partitions are the same each time it is read. Files count in order of their
+    paths, parts of a file in order of their places in it, whatever parts the scan packs into one task. One row for each
+    part is summed up and joined back; no row of the table is shuffled while that summary is small.
     """
-    inside = F.monotonically_increasing_id()
-    df = df.withColumn("_mid", inside)
-    part, pos = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    start, offsets = 0, []
-    for row in sorted(sizes, key=lambda r: r["p"]):
-        offsets.append((row["p"], start))
-        start += row["n"]
-    table = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
-    joined = df.withColumn("_part", part).join(F.broadcast(table), "_part")
-    return joined.withColumn(out, F.col("_start") + pos + 1).drop("_mid", "_part", "_start")
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    df = df.withColumn("_mid", F.monotonically_increasing_id())
+    parts = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = lookup_join(df, starts, ["_file", "_block"])
+    number = F.col("_start") + F.col("_mid") - F.col("_first") + 1
+    return joined.withColumn(out, number).drop("_mid", "_file", "_block", "_first", "_start")
 
 
 def audited(df: DataFrame, label: str) -> tuple[DataFrame, Observation]:

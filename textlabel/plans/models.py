@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlabel.operators.features import EmbeddingModel, TfidfModel, VectorRecipe
-from textlabel.operators.neighbours import KERNELS, knn, knn_vote
+from textlabel.operators.joins import BROADCAST_BYTES, measured_bytes
+from textlabel.operators.neighbours import KERNELS, knn, knn_vote, vote_in_place
 
 Params = Mapping[str, object]
 FEATURES, TRUTH, WEIGHT = "features", "truth", "weight"
@@ -148,7 +149,10 @@ class KnnClassifier:
 
 @dataclass
 class KnnModel:
-    """Keeps its training rows as a table. Rows to score need the same `id` column."""
+    """Keeps its training rows as a table.
+
+    Up to `BROADCAST_BYTES` of them (measured) go to the tasks, and rows are scored where they lie; beyond that the
+    block join of `knn` takes over, for which rows to score need the training rows' `id` column."""
 
     train: DataFrame
     k: int
@@ -162,6 +166,10 @@ class KnnModel:
         if WEIGHT in self.train.columns:  # whole-number weights repeat the row, as a resample does
             train = plain(self.train, TRUTH, F.explode(F.sequence(F.lit(1), F.col(WEIGHT).cast("int"))).alias("_i"))
             train = train.select(F.concat_ws("#", F.col("id").cast("string"), "_i").alias("id"), "vec", TRUTH)
+        if measured_bytes(train) <= BROADCAST_BYTES:
+            share = vote_in_place([(r["id"], r["vec"], r[TRUTH]) for r in train.collect()], self.k, self.kernel)
+            scored = df.withColumn("p1", share(vector_to_array(FEATURES)))
+            return scored.withColumn("p0", 1 - F.col("p1")).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
         near = knn(plain(df), train, self.k + 1, "id", "vec", TRUTH)
         votes = knn_vote(near, self.k, self.kernel).withColumnRenamed("query_id", "id")
         scored = df.join(votes, "id", "left")
@@ -271,15 +279,22 @@ def score(model: PipelineModel | KnnModel, df: DataFrame) -> DataFrame:
 def importance(model: PipelineModel, terms: Sequence[str]) -> DataFrame:
     """(variable, importance, sign): size of a coefficient and the direction of its effect on the event,
     or the impurity importance of a tree model. The vocabulary is at most a few thousand terms."""
-    last = model.stages[-1]
+    # Of several stages (a margin and its calibration) the first one that works on the features counts.
+    fitted = [s for s in model.stages if hasattr(s, "coefficients") or hasattr(s, "featureImportances")]
+    if not fitted:
+        raise ValueError("this model has no importances")
+    first = fitted[0]
     spark = SparkSession.active()
-    if hasattr(last, "coefficients"):
-        values = [float(x) for x in last.coefficients.toArray()]
+    size = first.coefficients.size if hasattr(first, "coefficients") else first.featureImportances.size
+    if size != len(terms):
+        raise ValueError(f"{len(terms)} terms for {size} features")
+    if hasattr(first, "coefficients"):
+        values = [float(x) for x in first.coefficients.toArray()]
         rows = [
             (t, abs(v), "Positive" if v > 0 else "Negative" if v < 0 else "Zero") for t, v in zip(terms, values)
         ]
     else:
-        rows = [(t, float(v), "Importance") for t, v in zip(terms, last.featureImportances.toArray())]
+        rows = [(t, float(v), "Importance") for t, v in zip(terms, first.featureImportances.toArray())]
     return spark.createDataFrame(rows, "variable string, importance double, sign string")
 
 

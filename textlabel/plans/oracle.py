@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 from textlabel.functions.dictionaries import SNOWBALL_ENGLISH, SUBSTANCES
-from textlabel.functions.hashing import POISSON_CUTS
-from textlabel.functions.text import MARK, WORD, WORD_RUN
-from textlabel.operators.metrics import METRICS
 from textlabel.plans import models
 from textlabel.plans.queries import DEMO, FLAGS, LEXICON, PART_RULES, TRUTHS
 
@@ -25,6 +24,14 @@ def hit(terms: list[str], whole_word: bool = False, text: str = "text") -> str:
     return f"CAST(coalesce(regexp_matches({text}, {q('(?i)' + body)}), false) AS INTEGER)"
 
 
+# Written out here and not taken from the code that is checked. A number keeps inner commas, a word inner marks.
+RUN = r"[\p{L}\p{M}\p{N}_]"
+WORD = rf"\p{{N}}+(?:,\p{{N}}+)+{RUN}*(?:['’.]{RUN}+)*|{RUN}+(?:['’.]{RUN}+)*"
+WORD_RUN = RUN + "+"
+MARK = r"[^\s\p{L}\p{M}\p{N}_]"
+
+METRICS = ["f_meas", "accuracy", "kap", "sens", "spec", "ppv", "npv", "recall", "precision"]
+
 SQL: dict[str, str] = {}
 STOP = f"(VALUES {values(SNOWBALL_ENGLISH)}) AS s(w)"
 FLAG_COLS = ", ".join(f'{hit(t)} AS "{k}"' for k, t in DEMO.items())
@@ -334,8 +341,10 @@ SQL["event_folds"] = folds_sql("events", "event_id", "event_type", "event_id, ev
 
 def weight_sql(rep: str = "replicate", key: str = "doc_id") -> str:
     u = f"(('0x' || substr(md5({rep} || ':' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-    cases = " ".join(f"WHEN {u} < {c}::DOUBLE THEN {k}" for k, c in enumerate(POISSON_CUTS))
-    return f"CAST(CASE {cases} ELSE {len(POISSON_CUTS)} END AS BIGINT)"
+    # Cumulative Poisson probabilities with mean one: sums of 1 / (e k!).
+    cuts = [math.fsum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(13)]
+    cases = " ".join(f"WHEN {u} < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(cuts))
+    return f"CAST(CASE {cases} ELSE {len(cuts)} END AS BIGINT)"
 
 
 SQL["bootstrap_weights"] = (

@@ -74,9 +74,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     """A table whose texts take work: a single small file is shared out over the cores first."""
-    return tables.spread(table(spark, sf, name), key)
+    return tables.spread(table(spark, sf, name))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def word_count_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def turn_word_count_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(describe.six_num(texts(spark, sf, "conversations", "conv_id"), n_words("text")))
+    return rounded(describe.six_num(texts(spark, sf, "conversations"), n_words("text")))
 
 
 @query
@@ -302,7 +302,7 @@ def bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def turn_bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.bigram_counts(texts(spark, sf, "conversations", "conv_id"))
+    return tokens.bigram_counts(texts(spark, sf, "conversations"))
 
 
 @query

@@ -81,6 +81,7 @@ def tune(
     seed: int = 100,
     parallelism: int = 4,
     path: str | None = None,
+    part: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every outcome x workflow x parameter set x fold.
 
@@ -115,7 +116,10 @@ def tune(
 
     for outcome in outcomes:
         truth = F.col(f"`{outcome}`").cast("int").alias("truth")
-        known = df.filter(F.col(f"`{outcome}`").isNotNull()).select(F.col(id_col).alias("id"), truth, *inputs)
+        known = df.filter(F.col(f"`{outcome}`").isNotNull())
+        if part:  # a split of its own for each outcome: only its train rows are tuned on
+            known = known.filter(F.col(part[outcome]) == "train")
+        known = known.select(F.col(id_col).alias("id"), truth, *inputs)
         folds = settle(stratified_folds(known, "id", "truth", v, seed), "folds")
         jobs = []
         for key, recipe in recipes.items():
@@ -215,18 +219,21 @@ def last_fit(
     df: DataFrame,
     id_col: str,
     best: Mapping[str, tuple[Workflow, Mapping]],
-    part: str = "part",
+    part: str | Mapping[str, str] = "part",
     seed: int = 100,
     parallelism: int = 4,
 ) -> tuple[dict[str, Labeller], DataFrame]:
     """Fit each outcome's best workflow on the train rows and predict the test rows.
 
+    `part` names the column that says train or test, one for all or one for each outcome (see `outcome_parts`).
+
     Returns the fitted models and one predictions table (outcome, model, id, truth, pred, p0, p1).
     """
     def job(outcome: str, flow: Workflow, params: Mapping) -> Callable[[], object]:
         def run() -> tuple[str, Labeller, DataFrame]:
             known = df.filter(F.col(f"`{outcome}`").isNotNull()).withColumn("truth", F.col(f"`{outcome}`"))
-            train, test = known.filter(F.col(part) == "train"), known.filter(F.col(part) == "test")
+            mark = F.col(part if isinstance(part, str) else part[outcome])
+            train, test = known.filter(mark == "train"), known.filter(mark == "test")
             recipe = flow.recipe.fit(train)
             features = settle(_narrow(recipe.transform(train), id_col), "features", even=True)
             model = fit_model(flow.model, params, features, seed=seed)
@@ -270,7 +277,7 @@ def bootstrap_refit(
             def run() -> None:
                 drawn = rows.withColumn("weight", F.lit(1).cast("long") if rep == 0 else weight_of(rep, id_col, seed))
                 inside = drawn.filter("weight > 0")
-                recipe = flow.recipe.fit(inside)
+                recipe = flow.recipe.fit(inside, weight="weight")
                 features = _narrow(recipe.transform(inside), id_col, "weight").persist()
                 model = fit_model(flow.model, params, features, weight="weight", seed=seed)
                 held = drawn if rep == 0 else drawn.filter("weight = 0")
@@ -299,6 +306,16 @@ def split_by_outcome(
     return {o: stratified_split(df, id_col, o, prop, f"{seed}:{o}") for o in outcomes}
 
 
+def outcome_parts(
+    df: DataFrame, id_col: str, outcomes: Sequence[str], prop: float = 0.8, seed: int = 100
+) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with one train/test column for each outcome, stratified by it, and their names, as `tune` and `last_fit` take them."""
+    names = {o: f"part_{i}" for i, o in enumerate(outcomes)}
+    for outcome, name in names.items():
+        df = stratified_split(df, id_col, outcome, prop, f"{seed}:{outcome}", out=name)
+    return df, names
+
+
 def grid_table(flows: Sequence[Workflow]) -> list[tuple[str, str, str]]:
     """(model, config, parameters as JSON) for storing beside the results."""
     return [(f.id, f.config(i), json.dumps(dict(p), sort_keys=True)) for f in flows for i, p in enumerate(f.grid)]

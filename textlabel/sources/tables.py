@@ -34,19 +34,14 @@ def read_table(spark: SparkSession, path: str, run_date: str | None = None) -> D
     return df.filter(F.col("run_date") == F.lit(run_date).cast("date")) if run_date else df
 
 
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Share out a small table that sits in a few files, which a scan would read with a few tasks.
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a small table that a scan would read with fewer tasks than there are cores.
 
-    Done only when there are fewer files than cores and less data than one scan split per core, so a
-    table that can fill the cluster by itself is never shuffled. File lengths are all that is read.
+    The number of tasks is what the scan itself plans, from file and split sizes; a table that can fill the
+    cluster is never shuffled. Rows are dealt evenly, whatever their keys.
     """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    lengths = spark.read.format("binaryFile").load(files).agg(F.sum("length").alias("b")).first()["b"]
-    return df if lengths > cores * split else df.repartition(cores, F.col(by))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def write_table(df: DataFrame, path: str, run_date: str | None = None) -> None:
