@@ -39,7 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.redact(F.col("text"), F.col(spans))
     changed = F.size(spans) > 0
     chars = F.when(changed, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns({"n_chars": chars, "text": clean}).drop(spans)
+    # One after the other: in one projection the new text would stand in for the old one inside the lambdas of `chars`.
+    return found.withColumn("n_chars", chars).withColumn("text", clean).drop(spans)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
