@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from textlabel.llm.arrays import let, window_hashes
 from textlabel.operators.joins import lookup_join, measured_bytes
 from textlabel.session import settle
 
@@ -27,41 +27,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(normalise(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often `body` uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _joined(tokens: Column, start: Column, length: int | Column) -> Column:
     return F.array_join(F.slice(tokens, start, length), " ")
 
 
-def _pair(left: Column, right: Column, shift: int) -> Column:
-    """Hashes of what `left` begins at each position and `right` goes on with `shift` words later."""
-    count = F.least(F.size(left), F.size(right) - shift)
-    return F.when(
-        count > 0,
-        F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(shift + 1), count), lambda a, b: F.xxhash64(a, b)),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def window_hashes(word_hashes: Column, length: int) -> Column:
-    """One hash per window of `length` words, by doubling: about log2(length) steps for all windows at once."""
-
-    def double(blocks: Column, size: int, powers: list[tuple[int, Column]]) -> Column:
-        if size * 2 > length:
-            return extend(blocks, size, powers)
-        return _let(_pair(blocks, blocks, size), lambda twice: double(twice, size * 2, [*powers, (size, blocks)]))
-
-    def extend(blocks: Column, size: int, powers: list[tuple[int, Column]]) -> Column:
-        for step, hashes in reversed(powers):
-            if size + step <= length:
-                return _let(_pair(blocks, hashes, size), lambda longer: extend(longer, size + step, powers))
-        return blocks
-
-    return double(word_hashes, 1, [])
-
-
 def item_windows(items: DataFrame, item_col: str, text_col: str, length: int) -> DataFrame:
     """(item, len, gram): the distinct windows of each item; an item of fewer words, but not none, is one window."""
     tokens = items.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{text_col}`")).alias("w"))
@@ -107,9 +76,9 @@ def scan_hits(
 
         def all_found(w: Column) -> Column:
             by_length = lambda hashes: F.concat(none, *[found(w, hashes, s) for s in lengths])
-            return _let(F.transform(w, lambda x: F.xxhash64(x)), by_length)
+            return let(F.transform(w, lambda x: F.xxhash64(x)), by_length)
 
-        hits = _let(F.col("w"), all_found) if lengths else none
+        hits = let(F.col("w"), all_found) if lengths else none
         return settle(tokens.select("id", F.size("w").cast("long").alias("n_words"), hits.alias("hits")), "window-hits"), keyed
     # A set too large to go with each task: windows are rows, and meet it in a join.
     rows = tokens.withColumn("_row", F.monotonically_increasing_id())

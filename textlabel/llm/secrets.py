@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textlabel.llm.arrays import let
+
 # Base patterns in the order of their kinds; the last number is the least length of the group that counts.
 PATTERNS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -36,10 +38,6 @@ LEVEL = 0.01
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places in code points (end exclusive). Texts without a match
     are scanned once."""
@@ -62,7 +60,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.struct(F.split(text, pattern, -1).alias("parts"), found.alias("found"))
-    return F.when(text.rlike(pattern), _let(both, placed)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -117,9 +115,9 @@ def _battery(values: Column, size: Column) -> Column:
         sides = F.array(F.lit(1.0), F.lit(2.0), F.lit(2.0))
         logs = F.zip_with(tails, sides, lambda z, side: -_log_p(side * _upper_tail(z)))
         total = F.aggregate(logs, F.lit(0.0), lambda acc, y: acc + y)
-        return _let(total, lambda s: F.exp(-s) * (1 + s + s * s / 2))
+        return let(total, lambda s: F.exp(-s) * (1 + s + s * s / 2))
 
-    return _let(F.struct(values.alias("v"), size.cast("double").alias("k")), p_of)
+    return let(F.struct(values.alias("v"), size.cast("double").alias("k")), p_of)
 
 
 def _encoding_of(core: Column) -> Column:
@@ -147,7 +145,7 @@ def tested_tokens(text: Column) -> Column:
                 F.when(alphabet.isNotNull(), _battery(values, F.char_length(alphabet))).alias("p"),
             )
 
-        return _let(_let(core, lambda c: F.struct(c.alias("core"), _encoding_of(c).alias("e"))), judged)
+        return let(let(core, lambda c: F.struct(c.alias("core"), _encoding_of(c).alias("e"))), judged)
 
     return F.filter(F.transform(matches(text, CANDIDATE), tested), lambda t: t["p"].isNotNull())
 
@@ -196,7 +194,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05, ou
         return F.array_sort(F.concat(x["base"], F.transform(free, lambda t: _span(t, len(PATTERNS), "random"))))
 
     both = F.struct(base_spans(text).alias("base"), passed.alias("more"))
-    return docs.withColumn(out_col, _let(both, joined))
+    return docs.withColumn(out_col, let(both, joined))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlabel.llm.decontaminate import _let as let
-from textlabel.llm.decontaminate import window_hashes
+from textlabel.llm.arrays import let, window_hashes
 from textlabel.session import settle
 
 LOWEST = -(1 << 63)
