@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,8 +140,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
 def _exact_rest(texts: DataFrame, open_: DataFrame, width: int, threshold: float) -> DataFrame:
     """Candidate pairs among the paragraphs `open_` (digest, class) of different classes, none of a similar pair missing.
 
-    Two sets with the similarity share one of the rarest (1 - threshold) of their shingles, in the order of frequency. Variants that
-    differ too much have only shingles of their own there, and meet nothing."""
+    Two sets with the similarity share one of the rarest (1 - threshold) of their shingles, in the order of frequency; at the first
+    one that they share, enough shingles must still follow in both. Variants that differ too much begin with so many shingles
+    of their own that they meet nothing."""
     words = F.split("text", " ")
     n = F.greatest(F.size(words) - (width - 1), F.lit(1))
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, width), " "))
@@ -150,12 +152,17 @@ def _exact_rest(texts: DataFrame, open_: DataFrame, width: int, threshold: float
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     rated = each.join(shared, "s").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("g"))
     size = F.size("g")
-    prefix = F.slice("g", F.lit(1), size - F.ceil(F.lit(threshold) * size).cast("int") + 1)
-    rare = rated.select("digest", F.explode(F.filter(prefix, lambda x: x["f"] > 1)).alias("x")).select("digest", F.col("x.s").alias("s"))
-    rare = settle(rare.join(rows.select("digest", "class"), "digest"), "rare-shingles")
-    left = rare.select("s", F.col("digest").alias("a"), F.col("class").alias("ca"))
-    right = rare.select(F.col("s").alias("t"), F.col("digest").alias("b"), F.col("class").alias("cb"))
-    return left.join(right, (F.col("s") == F.col("t")) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
+    prefix = F.slice("g", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
+    placed = F.transform(prefix, lambda x, i: F.struct(x["f"].alias("f"), x["s"].alias("s"), (size - i).alias("left")))
+    rare = rated.select("digest", size.alias("size"), F.explode(F.filter(placed, lambda x: x["f"] > 1)).alias("x"))
+    rare = rare.select("digest", "size", "x.s", "x.left").join(rows.select("digest", "class"), "digest")
+    rare = settle(rare, "rare-shingles")
+    left = rare.select("s", F.col("digest").alias("a"), F.col("class").alias("ca"), F.col("size").alias("na"), F.col("left").alias("la"))
+    right = rare.toDF(*[f"{c}_" for c in rare.columns])
+    # What can still be common from here on must reach the overlap that the similarity asks for.
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("size_")) - 1e-9
+    fits = (F.col("s") == F.col("s_")) & (F.col("ca") < F.col("class_")) & (F.least("la", "left_") >= need)
+    return left.join(right, fits).select("a", F.col("digest_").alias("b")).distinct()
 
 
 def repeated_passages(
@@ -171,7 +178,7 @@ def repeated_passages(
 
     Paragraphs are lines of at least `min_words` words (long ones in pieces, see `paragraphs`), compared by their lower-case words.
     Equal ones are one paragraph from the start. Distinct ones collide in MinHash bands tuned for `recall`; in each bucket all
-    are compared with its first and its last one, and links with an exact Jaccard similarity of `threshold` or more join classes.
+    are compared with its first one and with the one that most others collide with (the original, as a rule), and links with an exact Jaccard similarity of `threshold` or more join classes.
     Only buckets that are then still in several classes go on: their paragraphs meet by rare shingles, which misses no
     similar pair. So a bucket is never expanded into all its pairs. Classes are the connected components of links.
 
@@ -198,9 +205,13 @@ def repeated_passages(
     signed = settle(signed, "signed-paragraphs")
     texts = signed.select("digest", "text")
     keys = signed.select("digest", F.explode("bands").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
-    shared = settle(keys.join(ends, "key"), "shared-bands")
-    pairs = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("digest").alias("b"))
+    bucket = W.partitionBy("key")  # one shuffle for the size of each bucket and its first member
+    sized = keys.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("digest").over(bucket)})
+    shared = settle(sized.filter("n > 1"), "shared-bands")
+    mates = shared.groupBy("digest").agg(F.sum("n").alias("mates"))
+    central = shared.join(mates, "digest").groupBy("key").agg(F.max(F.struct("mates", "digest")).alias("top"))
+    pairs = shared.join(central.select("key", F.col("top.digest").alias("high")), "key")
+    pairs = pairs.select(F.explode(F.array("low", "high")).alias("a"), F.col("digest").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     links = settle(_verify(pairs, texts, width, threshold), "paragraph-links")
     classes = settle(connected_components(links), "paragraph-classes")
