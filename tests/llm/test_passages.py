@@ -89,3 +89,46 @@ def test_one_document_and_empty_table(spark):
     line = " ".join(f"word{i}" for i in range(30))
     assert found(passages.repeated_passages(documents(spark, [(1, f"{line}\n{line}"), (1, line)]))) == {}
     assert found(passages.repeated_passages(documents(spark, [(1, "x")]).filter("false"))) == {}
+
+
+def shared_windows(rows, size=50):
+    """(id, first word) of all windows of `size` words that another document holds too, and the spans of the words."""
+    spots, spans = defaultdict(set), {}
+    for key, text in rows:
+        spans[key] = [m.span() for m in passages._TOKEN.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans[key]]
+        for i in range(len(words) - size + 1):
+            spots[tuple(words[i : i + size])].add((key, i))
+    return [s for group in spots.values() if len({k for k, _ in group}) > 1 for s in group], spans
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_window_of_fifty_shared_words_holds_a_unit(spark, seed):
+    """Passages within lines, over many short lines, without punctuation or blanks, at both ends of a text and without end."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for n in (50, 51, 64, 120):
+        for sep in (" ", "\n"):
+            shared = sep.join(word() for _ in range(n))
+            for before, after in ((12, 13), (0, 60), (45, 0)):
+                parts = [" ".join(word() for _ in range(before)), shared, " ".join(word() for _ in range(after))]
+                rows.append((len(rows), " ".join(p for p in parts if p)))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(50))
+    for _ in range(2):
+        rows.append((len(rows), "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(30)) + han + "。"))
+    rows += [(len(rows), "same " * 300), (len(rows) + 1, "other " + "same " * 200)]
+    windows, spans = shared_windows(rows)
+    assert {k for k, _ in windows} == set(range(len(rows)))
+    found_ = defaultdict(list)
+    for r in passages.repeated_passages(documents(spark, rows)).collect():
+        found_[r.doc_id].append((r.start, r.end))
+    for key, i in windows:
+        first, last = spans[key][i - 1][1] if i else 0, spans[key][i + 49][1]
+        assert any(a >= first and b <= last for a, b in found_[key]), (key, i)
+
+
+def test_overlapping_spans_are_cut_once(spark):
+    docs = documents(spark, [(1, "a b c d e f")])
+    cut = spark.createDataFrame([(1, 1, 9, True), (1, 2, 5, True)], "doc_id long, start int, end int, removed boolean")
+    assert [r.text for r in passages.without_passages(docs, cut).collect()] == ["a f"]

@@ -19,8 +19,17 @@ from textlabel.session import settle
 
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
+# Words of the stretches: scripts without blanks count each character as one.
+_BARE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[{_BARE}]|[^\s{_BARE}]+")
 # A line of more words than this is cut at some of its sentence ends.
 LONG_LINE = 80
+# Two documents that share so many words in a row share a stretch.
+STRETCH = 50
+# Joins the words of a stretch. It is white space, so no word holds it.
+_GLUE = "\x1f"
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_WINDOWS_AT_ONCE = 1 << 14
 
 
 def tune_bands(threshold: float, recall: float = 0.999, most: int = 256) -> tuple[int, int]:
@@ -36,7 +45,7 @@ def tune_bands(threshold: float, recall: float = 0.999, most: int = 256) -> tupl
     raise ValueError("no banding reaches this recall")
 
 
-def paragraphs(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
+def lines(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of each line of at least `min_words` words.
 
     Lines of more than LONG_LINE words are cut after sentence ends, at those that a hash of the two words before chooses (every
@@ -60,6 +69,51 @@ def paragraphs(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def _chosen(grams: np.ndarray, reach: int) -> list[int]:
+    """Places such that each `reach` neighbours in a row have one with their smallest value, by values alone.
+
+    Of equal values the last counts, and none is added for windows that a chosen equal one lies in, so a text that repeats one word
+    has one place in `reach`."""
+    views = np.lib.stride_tricks.sliding_window_view(grams, reach)[:, ::-1]
+    parts = [views[i : i + _WINDOWS_AT_ONCE].argmin(1) for i in range(0, len(views), _WINDOWS_AT_ONCE)]
+    last = np.arange(len(views)) + (reach - 1) - np.concatenate(parts)
+    spots, first = np.unique(last, return_index=True)
+    until = np.append(first[1:], len(views)) - 1
+    out: list[int] = []
+    for spot, end in zip(spots.tolist(), until.tolist()):
+        if not (out and out[-1] >= end and grams[out[-1]] == grams[spot]):
+            out.append(spot)
+    return out
+
+
+def stretches(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, [lower-case words as one]) of runs of `min_words` words, wherever lines and sentences end.
+
+    Runs are chosen by the smallest hash among neighbours (winnowing), so that any STRETCH words (twice `min_words` if that is more)
+    that stand in two documents hold a run that is chosen in both. As the words are given as one, only equal runs are
+    similar. `start` is the end of the word before: cutting takes the blank along, and no line starts there. The first
+    word of a text has none before it, so the first run is left out of the choice; the bound above allows for that."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    reach = max(STRETCH, 2 * min_words) - min_words
+    count = len(spans) - min_words + 1
+    if count <= reach:
+        return []
+    words = [text[a:b].lower() for a, b in spans]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    grams = np.zeros(count, np.uint64)
+    for i in range(min_words):
+        grams = grams * _MULT + hashes[i : i + count]
+    grams = (grams ^ (grams >> np.uint64(29))) * _MULT
+    grams ^= grams >> np.uint64(32)
+    chosen = [i + 1 for i in _chosen(grams[1:], reach)]
+    return [(spans[i - 1][1], spans[i + min_words - 1][1], [_GLUE.join(words[i : i + min_words])]) for i in chosen]
+
+
+def paragraphs(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, lower-case words) of all units that are compared: `lines` and `stretches`."""
+    return lines(text, min_words) + stretches(text, min_words)
+
+
 def shingles(words: list[str], width: int) -> set[str]:
     return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
@@ -69,13 +123,14 @@ def _units(min_words: int, with_text: bool):
         for batch in batches:
             rows, start, end, count, digest, body = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b, words in paragraphs(text or "", min_words):
+                # Stretches match as a whole, by their digests: their words are not needed again.
+                for a, b, words in (lines if with_text else paragraphs)(text or "", min_words):
                     plain = " ".join(words)
                     digest.append(xxhash.xxh3_128_digest(plain.encode()))
                     rows.append(i)
                     start.append(a)
                     end.append(b)
-                    count.append(len(words))
+                    count.append(len(words) + plain.count(_GLUE))
                     body.append(plain if with_text else None)
             if with_text:
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(body, pa.string())], names=["digest", "text"])
@@ -176,7 +231,9 @@ def repeated_passages(
 ) -> DataFrame:
     """(id_col, start, end, n_words, class_id, kept_id, removed): one row per paragraph that is repeated in another document.
 
-    Paragraphs are lines of at least `min_words` words (long ones in pieces, see `paragraphs`), compared by their lower-case words.
+    Paragraphs are lines of at least `min_words` words (long ones in pieces, see `lines`), compared by their lower-case words, and
+    runs of `min_words` words chosen by content across lines (see `stretches`), which only match equal ones: any 50 words in a row
+    (STRETCH) that two documents share hold such a run. Rows of both kinds may overlap.
     Equal ones are one paragraph from the start. Distinct ones collide in MinHash bands tuned for `recall`; in each bucket all
     are compared with its first one and with the one that most others collide with (the original, as a rule), and links with an exact Jaccard similarity of `threshold` or more join classes.
     Only buckets that are then still in several classes go on: their paragraphs meet by rare shingles, which misses no
@@ -228,6 +285,7 @@ def repeated_passages(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "start")).alias("first"), F.min("id").alias("lo"), F.max("id").alias("hi")
     )
     per_text = per_text.join(classes.withColumnRenamed("node", "digest"), "digest", "left")
+    per_text = per_text.filter("root is not null or lo <> hi")  # what is alone in its class and in one document is not repeated
     per_text = settle(per_text.withColumn("root", F.coalesce("root", "digest")), "paragraph-firsts")
     per_class = per_text.groupBy("root").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     repeated = per_class.filter("lo <> hi").select("root", "first")
@@ -250,7 +308,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        return F.struct(kept.alias("out"), s["end"].alias("at"))
+        return F.struct(kept.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
     cut = F.aggregate(gone_col, start, step, rest)
