@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -85,6 +86,20 @@ def test_links_against_all_pairs(spark, monkeypatch, distance, paired):
     assert classes(nodes, got) == classes(nodes, want)
 
 
+@pytest.mark.parametrize("size", range(60, 71))
+@pytest.mark.parametrize("batch", [1, 7, 60, 64, 65, 66, 100])
+def test_no_member_of_a_long_run_is_compared_in_part(size, batch):
+    """A run is reported as crowd whole, wherever batches end in it; its members differ so much that no pair is near."""
+    rng = random.Random(size)
+    fps = [0, *(rng.getrandbits(64) for _ in range(size)), 1]
+    rows = [(0, 0, 5, fps[0]), *((0, 1, 7, x) for x in fps[1:-1]), (1, 0, 9, fps[-1])]
+    cols = [pa.array(c, t) for c, t in zip(zip(*((a, b, r, signed(x)) for a, b, r, x in rows)), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+    table = pa.RecordBatch.from_arrays(cols, names=["seg", "pos", "rest", "fp"])
+    parts = (table.slice(i, batch) for i in range(0, len(rows), batch))
+    out = [r for b in simhash._compare_runs(2)(parts) for r in b.to_pylist()]
+    assert {r["a"] for r in out if r["b"] is None} == {signed(x) for x in fps[1:-1]}
+
+
 def test_one_of_each_class_stays(spark):
     docs = documents(spark, odd_rows())
     kept = simhash.keep_one(docs, simhash.near_duplicates(docs))

@@ -135,7 +135,8 @@ def _compare_runs(max_distance: int):
                 now = tuple(np.concatenate([h, x]) for h, x in zip(held, now))
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
             start = len(same) - (int(np.argmin(same[::-1])) if not same.all() else len(same))
-            if len(same) - start > 2 * PAIRED_RUN:  # a long run: its earlier members are reported at once
+            # A long run: its earlier members are reported at once. Both parts must be longer than what is compared pair by pair.
+            if len(same) - start > 2 * PAIRED_RUN + 1:
                 body, tail = slice(0, len(same) - PAIRED_RUN - 1), slice(len(same) - PAIRED_RUN - 1, None)
             else:
                 body, tail = slice(0, start), slice(start, None)
