@@ -64,6 +64,35 @@ def test_false_discovery_share(spark):
     assert false <= 0.1 and sum(i < 1000 for i in got) >= 100
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 20])
+def test_random_tokens_of_small_classes_are_found(spark, monkeypatch, size):
+    """Classes with so many tokens, all random: their p-values are drawn evenly."""
+    rng = random.Random(size)
+    rows = [(f"class {k}", rng.random()) for k in range(400 // size) for _ in range(size)]
+    monkeypatch.setattr(secrets, "tested_tokens", lambda text: F.col("tokens"))
+    drawn = spark.createDataFrame(rows, "band string, p double")
+    docs = drawn.select(F.array(F.struct("band", "p")).alias("tokens"))
+    least = secrets.thresholds(docs, F.lit(""), 0.05)
+    assert sum(p >= least.get(band, 2) for band, p in rows) / len(rows) >= 0.9
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", secrets.UPPER + "234567", secrets.UPPER + secrets.LOWER + secrets.DIGITS])
+def test_a_lone_random_token_is_found(spark, alphabet):
+    rng = random.Random(3)
+    found = 0
+    for _ in range(4):
+        docs = documents(spark, [(1, "x " + "".join(rng.choices(alphabet, k=44))), (2, "no secret")]).drop("spans")
+        found += sum(len(r.spans) for r in secrets.find_secrets(docs).collect())
+    assert found >= 3
+
+
+def test_a_lone_token_below_the_level_is_not(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "tested_tokens", lambda text: F.col("tokens"))
+    docs = spark.createDataFrame([("a", 0.004), ("b", 0.02), ("b", 0.0)], "band string, p double")
+    least = secrets.thresholds(docs.select(F.array(F.struct("band", "p")).alias("tokens")), F.lit(""), 0.05)
+    assert "a" not in least and secrets.LEVEL <= least["b"] <= 0.02
+
+
 def test_p_values_are_even_for_random_tokens(spark):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choices("0123456789ABCDEF", k=40))) for i in range(800)]

@@ -154,9 +154,12 @@ def thresholds(docs: DataFrame, text: Column, rate: float) -> dict[str, float]:
     """Per encoding and length class the p-value above which a token counts as random.
 
     p-values of random tokens spread evenly, those of words and names pile up near 0. The share of random tokens
-    in a class is estimated from its upper fifth, plus one token so that small classes are not written off; the threshold is the
-    smallest at which at most `rate` of the tokens above it are not random by that estimate, and never below `LEVEL`. Counts are made per p bin over all documents; what comes to the driver is one number
-    for each class, of which there are at most seven encodings times two for each doubling of length."""
+    in a class is estimated from its upper fifth, plus one token and one standard error, so that chance in a small class does
+    not write off random tokens; the threshold is the smallest at which at most `rate` of the tokens above it are not random by that
+    estimate, and never below `LEVEL`. It is tried just above the next lower token, not at the token itself: how far a
+    token lies above the others is no sign against it, and one that is alone in its class is tested at `LEVEL`. Counts are made per p
+    bin over all documents; what comes to the driver is one number for each class, of which there are at most seven encodings
+    times two for each doubling of length."""
     tokens = docs.select(F.explode(tested_tokens(text)).alias("t")).select("t.band", "t.p")
     bins = tokens.groupBy("band", F.least(F.floor(F.col("p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
@@ -164,9 +167,12 @@ def thresholds(docs: DataFrame, text: Column, rate: float) -> dict[str, float]:
     upper = F.sum(F.when(F.col("bin") >= P_BINS * 4 // 5, F.col("n")).otherwise(0)).over(W.partitionBy("band"))
     above = F.sum("n").over(W.partitionBy("band").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("n").over(W.partitionBy("band"))
-    random = F.least(5 * (F.col("upper") + 1), F.col("total")) * (1 - F.col("bin") / P_BINS)
-    kept = bins.withColumns({"upper": upper, "above": above, "total": total}).filter(1 - random / F.col("above") <= rate)
-    found = kept.groupBy("band").agg(F.greatest(F.min("bin") / F.lit(float(P_BINS)), F.lit(LEVEL)).alias("p"))
+    lower = F.lag("bin").over(W.partitionBy("band").orderBy("bin"))
+    least = F.greatest((F.coalesce(lower, F.lit(-1)) + 1) / F.lit(float(P_BINS)), F.lit(LEVEL))
+    random = F.least(5 * (F.col("upper") + 1 + F.sqrt(F.col("upper") + 1)), F.col("total")) * (1 - F.col("least"))
+    tried = bins.withColumns({"upper": upper, "above": above, "total": total, "least": least})
+    kept = tried.filter((F.col("bin") + 1 > LEVEL * P_BINS) & (1 - random / F.col("above") <= rate))
+    found = kept.groupBy("band").agg(F.min("least").alias("p"))
     return {r["band"]: r["p"] for r in found.collect()}
 
 
