@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlabel.llm import decontaminate, language, passages, pieces, quality, secrets, simhash, sketch, url_filter, warc
+from textlabel.llm import (
+    decontaminate, language, licenses, passages, pieces, quality, runs, secrets, simhash, sketch, url_filter, variants, warc,
+)
+from textlabel.llm.arrays import let
 from textlabel.session import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +176,62 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op2_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf, "documents"), min_words=20, width=5, threshold=0.8)
+
+
+@register
+def op11_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words are runs of letters; one in 31 loses a letter, as a typing error would take it."""
+    docs = table(spark, sf, "documents")
+    found = docs.select("doc_id", F.explode(variants.letter_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (h % F.char_length("run")).cast("int")
+    word = F.when(h % 31 == 0, variants.without(F.col("run"), at)).otherwise(F.col("run"))
+    words = found.select(word.alias("word")).filter(F.char_length("word") >= 7)
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return variants.spelling_variants(counted, factor=10)
+
+
+LICENSE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+
+
+@register
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [*licenses.phrase_rules(LICENSE_PHRASES), *licenses.signature_rules()]
+    found = licenses.find_licenses(table(spark, sf, "documents").select("doc_id", "text"), rules)
+    base = F.filter("license_found", lambda f: f["base"])
+    names = lambda f: F.array_join(F.array_sort(F.array_distinct(F.transform(f, lambda x: x["label"]))), ",")
+    first = F.transform(base, lambda f: f["first"])
+    return found.select(
+        "doc_id", F.col("license_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("license_found")).alias("labels"), F.col("license_score").alias("score"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, chosen by their id, the words after one place repeat from there on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i))), " ")).otherwise("")
+
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op13_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf, "documents")), min_length=6, min_exponent=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "runs", "collapsed", told.alias("told"), best.alias("best")).select(
+        "doc_id", "n_runs", "best.start", (-F.col("best.minus")).alias("length"), "best.period",
+        F.floor(-1000 * F.col("best.minus") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
