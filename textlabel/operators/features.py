@@ -100,7 +100,7 @@ def tokenize_stage(text: str, out: str = "tokens", lower: bool = True, strip_pun
 def _bounded_rows(vocab: DataFrame, what: str) -> list:
     rows = vocab.limit(INLINE_VOCABULARY + 1).collect()
     if len(rows) > INLINE_VOCABULARY:
-        raise ValueError(f"{what} above {INLINE_VOCABULARY} tokens: set max_tokens, or use the join form")
+        raise ValueError(f"{what} above {INLINE_VOCABULARY} tokens: set max_tokens, or use `terms.WideTfidf` or `doc_embedding`, which join")
     if not rows:
         raise ValueError(f"no token is frequent enough for {what}")
     return rows

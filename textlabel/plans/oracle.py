@@ -300,6 +300,21 @@ SQL["tfidf"] = (
     "ln(1.0::DOUBLE + (SELECT count(*) FROM documents)::DOUBLE / df) AS idf FROM cell) "
     "SELECT doc_id, token, round(tf, 6) AS tf, round(tf * idf, 6) AS tfidf FROM f"
 )
+SQL["tfidf_every_word"] = (
+    f"WITH {TOK}, kept AS (SELECT * FROM tok WHERE word NOT IN (SELECT w FROM {STOP})), "
+    "seen AS (SELECT word, count(DISTINCT doc_id) AS df FROM kept GROUP BY word), "
+    "cell AS (SELECT doc_id, word, count(*) AS c FROM kept GROUP BY doc_id, word), "
+    "f AS (SELECT *, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY doc_id) AS tf, "
+    "ln(1.0::DOUBLE + (SELECT count(*) FROM documents)::DOUBLE / df) AS idf FROM cell JOIN seen USING (word)) "
+    "SELECT doc_id, word AS token, round(tf, 6) AS tf, round(tf * idf, 6) AS tfidf FROM f"
+)
+SQL["tfidf_without_fold"] = (
+    f"WITH {TOK}, f AS (SELECT unnest(range(3)) AS fold), "
+    "size AS (SELECT fold, count(*) AS docs FROM f JOIN documents ON doc_id % 3 <> fold GROUP BY fold), "
+    "st AS (SELECT fold, word, count(*) AS n, count(DISTINCT doc_id) AS df FROM f JOIN tok ON doc_id % 3 <> fold GROUP BY fold, word) "
+    f"SELECT fold, word AS token, n, df, round(ln(1.0::DOUBLE + docs::DOUBLE / df), 6) AS idf FROM st JOIN size USING (fold) "
+    f"WHERE n >= 2 AND word NOT IN (SELECT w FROM {STOP})"
+)
 VECTORS = (
     f"{VOCAB}, ranked AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) - 1 AS vec_id FROM top), "
     "wv AS (SELECT token, embedding FROM ranked JOIN embeddings USING (vec_id))"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, resample, tokens
+from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, resample, terms, tokens
 from textlabel.plans import models, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -358,6 +358,27 @@ def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.TfidfRecipe().fit(docs).long(docs, "doc_id"))
 
 
+@query
+def tfidf_every_word(spark: SparkSession, sf: str) -> DataFrame:
+    """No frequency filter and no largest vocabulary: each word of each text."""
+    docs = texts(spark, sf)
+    recipe = terms.WideTfidf("doc_id", min_times=1)
+    counts = recipe.counts(docs)
+    cells = recipe.fit(counts, docs.count()).cells(counts, "doc_id")
+    return rounded(cells.select("doc_id", F.inline("features")).select("doc_id", "token", "tf", "tfidf"))
+
+
+@query
+def tfidf_without_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequency and weight of the words of three dictionaries, each fitted without the documents of one fold."""
+    docs = texts(spark, sf).withColumn("fold", F.pmod("doc_id", F.lit(3)))
+    sizes = {r["fold"]: r["count"] for r in docs.groupBy("fold").count().collect()}
+    recipe = terms.WideTfidf("doc_id", min_times=2)
+    fitted = recipe.fit_folds(recipe.counts(docs, "fold"), "fold", [sizes.get(f, 0) for f in range(3)])
+    parts = [d.table.select(F.lit(f).cast("long").alias("fold"), "token", "n", "df", "idf") for f, d in enumerate(fitted)]
+    return rounded(joins.union_all(parts))
+
+
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary word of rank r gets the vector with vec_id r; at most 100 rows are ranked."""
     stats = features.token_stats(texts(spark, sf), tokenize("text"))
