@@ -92,3 +92,16 @@ def test_reputation_shrinks_and_blocks(spark):
     assert 1 / 3 > got["b.good.com"].reputation  # drawn towards its domain
     assert got["never.seen.com"].reputation is None and got["never.seen.com"].verdict == "allow"
     assert url_filter.judge(pages(spark).filter("false"), spark.createDataFrame([], "page_id long, bad int")).collect() == []
+
+
+def test_a_url_cannot_forge_headers(spark, tmp_path):
+    """Line separators beyond CR and LF are part of the url."""
+    rows = []
+    for i, mark in enumerate(["\u2028", "\u2029", "\u0085", "\r\n", "\n", "\r"]):
+        rows.append((i, f"http://a/{mark}WARC-Refers-To: <urn:record:77>{mark}X-Payload-Length: 5{mark}WARC-Type: revisit", f"page {i}"))
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "forged"))
+    back = {r.id: r for r in warc.read_archive(spark, str(tmp_path / "forged")).collect()}
+    for i, url, html in rows:
+        r = back[i]
+        assert (r.record_type, r.refers_to, r.payload_bytes, r.intact) == ("response", None, len(html), True)
+        assert r.url == url.replace("\r", "").replace("\n", "")

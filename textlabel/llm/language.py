@@ -112,14 +112,13 @@ def fit(
     text_col: str = "text",
     n: int = 3,
     least_rate: float = 1e-5,
-    least_share: float = 0.25,
     bits: int = 20,
     hashes: int = 3,
 ) -> LanguageFilter:
     """Learn the n-grams of each language from all rows with a language and a text.
 
     A language has an n-gram if it makes up at least `least_rate` of the language's n-grams (so a language has at most
-    1 / least_rate of them, however large the corpus) and at least `least_share` of the highest such rate of any language.
+    1 / least_rate of them, however large the corpus). A gram carries the bits of all languages that have it.
     Counts cover all rows and are summed within tasks before the shuffle. Slot masks are joined by OR; at most 2**bits of
     them (one million numbers) come to the driver. At most 64 languages. No rows: a filter without languages.
     """
@@ -158,14 +157,12 @@ def fit(
         return LanguageFilter([], np.zeros(1 << bits, np.uint64), hashes, n)
     # At most 64 rows.
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    top = rated.filter(F.col("rate") >= least_rate).groupBy("gram").agg(
-        F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("each")
-    )
+    top = rated.filter(F.col("rate") >= least_rate).groupBy("gram").agg(F.collect_list("lang").alias("each"))
     bit = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
     mask = F.aggregate(
-        F.filter("each", lambda e: e["rate"] >= F.col("top") * least_share),
+        "each",
         F.lit(0).cast("long"),
-        lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit[e["lang"]])),
+        lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit[e])),
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,8 @@ def _header(fields: list[tuple[str, Column]]) -> Column:
 
 
 def _field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
+    # With (?d) only a line feed ends a line: U+0085, U+2028 and U+2029 are part of a value.
+    found = F.regexp_extract("header", rf"(?md)^{name}: ([^\r\n]*)\r?$", 1)
     return F.when(found != "", found)
 
 
