@@ -530,9 +530,34 @@ SQL["prepare_texts"] = (
 
 # --- models with a closed form
 SQL["nb_moments"] = (
-    "WITH x AS (SELECT label, unnest(range(64)) AS dim, unnest(embedding) AS v FROM embeddings) "
-    "SELECT CAST(label AS BIGINT) AS label, CAST(dim AS BIGINT) AS dim, round(avg(v::DOUBLE), 6) AS mean, "
-    "round(var_pop(v::DOUBLE), 6) AS variance FROM x GROUP BY label, dim"
+    "WITH x AS (SELECT label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), "
+    "o AS (SELECT unnest(range(3)) AS k) "
+    "SELECT 'label_' || k AS outcome, CAST(label = k AS INTEGER) AS truth, CAST(dim AS BIGINT) AS dim, CAST(count(*) AS DOUBLE) AS n, "
+    "round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM x, o GROUP BY k, label = k, dim"
+)
+# Sums by label first; a class of an outcome is its label or all others.
+REFIT = (
+    f"r AS (SELECT vec_id, label, embedding, unnest(range(1001)) AS replicate FROM embeddings), "
+    f"w AS (SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {weight_sql(key='vec_id')} END AS weight FROM r), "
+    "x AS (SELECT vec_id, label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), "
+    "s AS (SELECT replicate, CASE WHEN w.label < 3 THEN w.label ELSE 3 END AS g, dim, sum(weight)::DOUBLE AS n, sum(weight * v) AS s1, "
+    "sum(weight * v * v) AS s2 FROM w JOIN x USING (vec_id) WHERE weight > 0 GROUP BY ALL), "
+    "o AS (SELECT unnest(range(3)) AS k), "
+    "m AS (SELECT k, replicate, g = k AS c, dim, sum(n) AS n, sum(s1) / sum(n) AS mu, "
+    "sum(s2) / sum(n) - (sum(s1) / sum(n)) ** 2 + 1e-9::DOUBLE AS var FROM s, o GROUP BY k, replicate, g = k, dim), "
+    "held AS (SELECT vec_id, label, replicate FROM w WHERE weight = 0 OR replicate = 0), "
+    "score AS (SELECT k, h.replicate, vec_id, h.label = k AS truth, m.c, ln(any_value(n)) - 0.5 * sum(ln(var) + (v - mu) ** 2 / var) AS score "
+    "FROM held h JOIN x USING (vec_id) JOIN m ON m.replicate = h.replicate AND m.dim = x.dim GROUP BY ALL), "
+    "pred AS (SELECT k, replicate, truth, max(score) FILTER (c) > max(score) FILTER (NOT c) AS yes FROM score GROUP BY k, replicate, vec_id, truth), "
+    "conf AS (SELECT 'label_' || k AS outcome, CAST(replicate AS BIGINT) AS replicate, count(*) FILTER (truth AND yes) AS tp, "
+    "count(*) FILTER (NOT truth AND yes) AS fp, count(*) FILTER (truth AND NOT yes) AS fn, count(*) FILTER (NOT truth AND NOT yes) AS tn "
+    "FROM pred GROUP BY k, replicate)"
+)
+SQL["bootstrap_refit_confusion"] = f"WITH {REFIT} SELECT * FROM conf"
+SQL["bootstrap_refit_ci"] = (
+    f"WITH {REFIT}, long AS ({long_metrics('conf', 'outcome, replicate')}) "
+    "SELECT outcome, metric, round(avg(estimate), 6) AS mean, round(quantile_cont(estimate, 0.025), 6) AS ci_lower, "
+    "round(quantile_cont(estimate, 0.975), 6) AS ci_upper FROM long WHERE replicate > 0 GROUP BY outcome, metric"
 )
 NEAR = (
     "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM embeddings), "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, resample, terms, tokens
+from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
 from textlabel.plans import models, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -677,15 +677,26 @@ def prepare_texts(spark: SparkSession, sf: str) -> DataFrame:
 # --- models -------------------------------------------------------------------------------------
 
 
+LABELS = [f"label_{i}" for i in range(3)]
+
+
+def label_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, features, label_0, …): is it the label 0, 1, 2?"""
+    flags_of = [F.when(F.col("label") == i, 1).otherwise(0).alias(o) for i, o in enumerate(LABELS)]
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), *flags_of)
+
+
 @query
 def nb_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and variance of each dimension per label, all from one aggregate."""
-    dims = range(64)
-    value = [F.get("embedding", F.lit(i)).cast("double") for i in dims]
-    aggs = [f(v).alias(f"{n}{i}") for i, v in enumerate(value) for n, f in (("m", F.avg), ("v", F.var_pop))]
-    wide = table(spark, sf, "embeddings").groupBy("label").agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("dim"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("variance")) for i in dims])
-    return rounded(wide.select(F.col("label").cast("long").alias("label"), F.inline(rows)))
+    """Mean and variance of each dimension by class of three outcomes, as a fitted naive Bayes holds them."""
+    rows = label_flags(spark, sf)
+    return rounded(replicates.fit_replicates(rows, "vec_id", LABELS, replicates=0).table(rows))
+
+
+@query
+def bootstrap_refit_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Naive Bayes refitted on 1,000 resamples for three outcomes and scored on the rows each leaves out."""
+    return replicates.refit_confusion(label_flags(spark, sf), "vec_id", LABELS, replicates=1000)
 
 
 def near(spark: SparkSession, sf: str, k: int) -> DataFrame:
@@ -782,10 +793,9 @@ def tuned_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_refit_ci(spark: SparkSession, sf: str) -> DataFrame:
-    flow = tune.Workflow("recipe_Naive.Bayes", features.VectorRecipe("embedding"), "naive_bayes", [{}])
-    test = label_zero(spark, sf).filter(F.col("part") == "test")
-    m = tune.bootstrap_refit(test, "id", {"zero": (flow, {})}, replicates=4)
-    return report.ci_table(tune.bootstrap_refit_ci(m))
+    """Intervals from 1,000 refits of each of three outcomes."""
+    m = replicates.refit_metrics(replicates.refit_confusion(label_flags(spark, sf), "vec_id", LABELS, replicates=1000))
+    return rounded(tune.bootstrap_refit_ci(m).select("outcome", "metric", "mean", "ci_lower", "ci_upper"))
 
 
 def fitted_labellers(spark: SparkSession, sf: str) -> dict[str, models.Labeller]:
