@@ -559,6 +559,21 @@ SQL["bootstrap_refit_ci"] = (
     "SELECT outcome, metric, round(avg(estimate), 6) AS mean, round(quantile_cont(estimate, 0.025), 6) AS ci_lower, "
     "round(quantile_cont(estimate, 0.975), 6) AS ci_upper FROM long WHERE replicate > 0 GROUP BY outcome, metric"
 )
+SQL["kernel_densities"] = (
+    "WITH x AS (SELECT CAST(label = 0 AS INTEGER) AS truth, CAST(unnest(range(64)) AS BIGINT) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), "
+    "s AS (SELECT truth, dim, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(v) AS lo, max(v) AS hi "
+    "FROM x GROUP BY truth, dim), "
+    "h AS (SELECT *, 0.9::DOUBLE * least(sd, iqr / 1.34::DOUBLE) * n::DOUBLE ** (-0.2::DOUBLE) AS bw FROM s), "
+    "g AS (SELECT truth, dim, n, bw, lo - 3 * bw AS low, (hi - lo + 6 * bw) / 511 AS step FROM h), "
+    "p AS (SELECT *, (v - low) / step AS place FROM x JOIN g USING (truth, dim)), "
+    "b AS (SELECT truth, dim, CAST(floor(place) AS BIGINT) AS j, 1 - (place - floor(place)) AS w FROM p "
+    "UNION ALL SELECT truth, dim, CAST(floor(place) AS BIGINT) + 1, place - floor(place) FROM p), "
+    "bins AS (SELECT truth, dim, j, sum(w) AS w FROM b GROUP BY truth, dim, j), "
+    "pts AS (SELECT *, unnest(range(512)) AS i FROM g) "
+    "SELECT truth, dim, CAST(i AS BIGINT) AS i, round(any_value(bw), 6) AS bw, round(any_value(low + step * i), 6) AS x, "
+    "round(sum(w * exp(-0.5::DOUBLE * ((i - j) * step / bw) ** 2)) / any_value(n * bw * sqrt(2 * pi())), 6) AS density "
+    "FROM pts JOIN bins USING (truth, dim) GROUP BY truth, dim, i"
+)
 NEAR = (
     "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM embeddings), "
     "d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, b.label, round(list_distance(a.v, b.v), 9) AS dist "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
+from textlabel.operators import concepts, densities, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
 from textlabel.plans import models, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -699,6 +699,28 @@ def bootstrap_refit_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return replicates.refit_confusion(label_flags(spark, sf), "vec_id", LABELS, replicates=1000)
 
 
+@query
+def kernel_densities(spark: SparkSession, sf: str) -> DataFrame:
+    """Density of each dimension at 512 points, for label 0 and for the others."""
+    fitted = densities.fit_densities(label_flags(spark, sf), "label_0")
+    points = fitted.select("truth", F.col("dim").cast("long").alias("dim"), "bw", "low", "step", F.posexplode("density").alias("i", "density"))
+    x = F.col("low") + F.col("step") * F.col("i")
+    return rounded(points.select("truth", "dim", "bw", F.col("i").cast("long").alias("i"), x.alias("x"), "density"))
+
+
+@query
+def kernel_bayes_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Naive Bayes with kernel densities, fitted on four fifths and tested on the rest, for three outcomes."""
+    rows = label_flags(spark, sf)
+    parts = []
+    for outcome in LABELS:
+        split = resample.stratified_split(rows, "vec_id", outcome, 0.8, 100)
+        model = densities.KernelBayes.fit(split.filter("part = 'train'"), outcome)
+        test = model.transform(split.filter("part = 'test'"))
+        parts.append(test.select(F.lit(outcome).alias("outcome"), F.col("vec_id").alias("id"), F.col(outcome).alias("truth"), "pred", "p0", "p1"))
+    return rounded(tune.evaluate(settle(joins.union_all(parts), "kernel-predictions"), ["outcome"]))
+
+
 def near(spark: SparkSession, sf: str, k: int) -> DataFrame:
     emb = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.when(F.col("label") == 0, 1).otherwise(0).alias("label")
