@@ -83,14 +83,18 @@ def test_reputation_shrinks_and_blocks(spark):
         for i in range(good + bad):
             rows.append((len(rows), f"http://{host}/p", ""))
             marks.append((len(rows) - 1, int(i >= good)))
-    rows.append((len(rows), "http://never.seen.com/", ""))
+    rows += [(len(rows), "http://never.seen.com/", ""), (len(rows) + 1, "http://new.spam.net/", ""), (len(rows) + 2, "http://new.good.com/", "")]
     out = url_filter.judge(pages(spark, rows), spark.createDataFrame([*marks, (0, None)], "page_id long, bad int"))
     got = {r.host: r for r in out.collect()}
     assert got["x.spam.net"].verdict == "block" and got["a.good.com"].verdict == "allow"
     assert got["lone.org"].verdict == "allow" and got["lone.org"].reputation < 1  # one page proves little
     assert got["y.spam.net"].reputation > got["lone.org"].reputation  # its domain speaks against it
     assert 1 / 3 > got["b.good.com"].reputation  # drawn towards its domain
-    assert got["never.seen.com"].reputation is None and got["never.seen.com"].verdict == "allow"
+    # Hosts without a label get the prior of their domain, and where that has none, of their suffix.
+    assert got["new.good.com"].reputation <= got["never.seen.com"].reputation < got["new.spam.net"].reputation
+    assert got["new.spam.net"].reputation > 0.8 and got["new.good.com"].verdict == got["never.seen.com"].verdict == "allow"
+    unlabelled = url_filter.judge(pages(spark, rows), spark.createDataFrame([], "page_id long, bad int"))
+    assert {r.verdict for r in unlabelled.collect()} == {"allow"}
     assert url_filter.judge(pages(spark).filter("false"), spark.createDataFrame([], "page_id long, bad int")).collect() == []
 
 

@@ -54,12 +54,13 @@ def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", z: flo
     `outcomes` has one row per labelled page, `bad` is 0 or 1. A suffix is the last `suffix_labels` labels of a host, its
     registered domain has one more. On each level a beta prior is centred on the estimate one level up, made from the pages that
     are not of the group itself, so that no page speaks twice; its weight (1 to 1,000 pseudo-pages) comes from the scatter of the
-    level's groups. `lower` is the posterior mean less z posterior deviations. Rows with a NULL host or label are left out.
+    level's groups. `lower` is the posterior mean less z posterior deviations. Rows with a NULL host are left out; a NULL label
+    is a page without one: it counts nowhere, but its host has a row, with the prior of its domain and suffix as its posterior.
     Groups are counted before any join, so a host with a third of all pages is one row; one number a level comes to the driver.
     """
     pages = outcomes.select(F.col(f"`{host}`").alias("host"), F.col(f"`{bad}`").cast("double").alias("bad"))
-    counts = pages.filter("host is not null and bad is not null").groupBy("host").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").alias("k")
+    counts = pages.filter("host is not null").groupBy("host").agg(
+        F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("k")
     )
     domain, suffix = last_labels(F.col("host"), suffix_labels + 1), last_labels(F.col("host"), suffix_labels)
     hosts = settle(counts.withColumns({"domain": domain, "suffix": suffix}), "host-counts")
@@ -94,8 +95,8 @@ def judge(
     """(id_col, host, path, rule, verdict, reputation): one row per page row.
 
     `outcomes` (id_col, bad) labels pages by id. The longest fitting rule decides. Else a host is blocked if its
-    posterior lower bound is above `block_above`: at worst a page of it is more likely bad than not. Hosts without
-    labelled pages and empty hosts are allowed, with a NULL reputation. A NULL url has empty host and path;
+    posterior lower bound is above `block_above`: at worst a page of it is more likely bad than not. A host
+    without labelled pages is judged by what its domain and suffix say of it. Empty hosts are allowed, with a NULL reputation. A NULL url has empty host and path;
     repeated rows are judged each by itself; an empty table gives no rows, and without labels all are allowed.
     Only the id and url columns are read.
     """
@@ -104,6 +105,8 @@ def judge(
     parts = settle(parts.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)), "url-parts")
     known = outcomes.select(F.col(f"`{id_col}`").alias("_id"), F.col("bad"))
     labelled = parts.filter("host <> ''").join(known, F.col("id") == F.col("_id")).select("host", "bad")
+    every = parts.filter("host <> ''").select("host").distinct().withColumn("bad", F.lit(None).cast(labelled.schema["bad"].dataType))
+    labelled = labelled.unionByName(every)
     rated = reputation(labelled, z=z, suffix_labels=suffix_labels).select(F.col("host").alias("_host"), "lower", "mean")
     blocked = F.when(F.col("lower") > block_above, "block").otherwise("allow")
     out = parts.join(rated, F.col("host") == F.col("_host"), "left")
