@@ -18,56 +18,51 @@ OUTCOMES = [
 # Substance keywords per outcome, matched as substrings in any letter case. Misspellings,
 # repeats and the trailing blanks are part of the lists and change what matches.
 FENTANYL = ["fentanyl", "4-ANPP", "carfentanil", "actyelfentanyl"]
-HEROIN = ["heroin"]
+HEROIN = ["Heroin"]
 PRESCRIPTION_OPIOIDS = [
-    "hydrocodone", "oxycodone", "hydromorphone", "oxymorphone", "codeine", "oxycontin", "methadone",
+    "Hydrocodone", "oxycodone", "hydromorphone", "oxymorphone", "codeine", "oxycontin", "methadone",
     "percocet", "buprenorphine", "meperidine", "morphine", "tapentadol", "tramadol", "naltrexone",
     "levorphanol",
 ]
-ANY_OPIOIDS = FENTANYL + HEROIN + PRESCRIPTION_OPIOIDS
-METHAMPHETAMINE = ["methamphetamine"]
+ANY_OPIOIDS = [
+    "fentanyl", "4-ANPP", "carfentanil", "actyelfentanyl", "heroin", "Hydrocodone", "oxycodone", "hydromorphone",
+    "oxymorphone", "codeine", "oxycontin", "methadone", "percocet", "buprenorphine", "meperidine", "morphine",
+    "tapentadol", "tramadol", "naltrexone", "levorphanol",
+]
+METHAMPHETAMINE = ["Methamphetamine"]
 COCAINE = ["cocaine", "cocaethylene"]
 BENZODIAZEPINES = [
     "Benzodiazapene", "etizolam", "chlordiazepoxide", "lorazepam", "flubromazolam", "nordiazepam",
     "diazepam", "pyrazolam", "clonazepam", "estazolam", "xanax", "alprazolam", "flualprazolam",
 ]
-ALCOHOL = ["alcohol", "ethanol", "ethanolism"]
-OTHERS = {
-    "Stimulants": ["amphetamine"],
-    "Anticonvulsants": [
-        "carbamazepine", "clobazam", "oxcarbazepine", "diazepam", "ethosuxamide", "phenytoin",
-        "gabapentin", "lacosamide", "levetiracetam", "phenobarbital", "pregabalin", "lamotrigine",
-        "topiramate", "valproate", "valproic acid", "zonisamide",
-    ],
-    "Antidepressants": [
-        "citalopram", "fluoxetine", "fluvoxamine", "paroxetine", "sertraline", "buproprion",
-        "venlafaxine", "duloxetine", "desvenlafasxine", "levomilnacipran", "imipramine",
-        "desipramine", "nortriptyline", "doxepin", "trimipramine", "amoxapine", "protriptyline",
-        "trazodone", "mirtazapine",
-    ],
-    "Antihistamines": [
-        "diphenydramine", "cetirizine", "chlorpheniramine", "fexofenadine", "loratadine",
-        "hydroxyzine", "doxylamine", "xylazine",
-    ],
-    "Antipsychotics": [
-        "risperidone", "quetiapine", "olanzapine", "aripiprazole", "clozapine", "haloperidol",
-        "chlorpromazine", "ziprasidone", "paliperidone", "trifluoperazine", "perphenazine",
-        "fluphenazine", "lurasidone", "pimozide",
-    ],
-    "Barbiturates": ["butalbital", "phenobarbital ", "pentobarbital", "butabarbital", "amobarbital"],
-    "Hallucinogens": [
-        "phencycldine", "LSD", "diethylamide", "ketamine", "PCP", "methylenedioxyamphetamine",
-    ],
-    "MDMA": [
-        "3,4-methylenedioxymethamphetamine", "MDMA", "methylenedioxymethamphetamine",
-        "3,4-methylenedioxymethaphetamine",
-    ],
-    "MDA": ["methylenedioxyamphetamine", "methylenedioxyamphetamine ", "MDA"],
-    "Muscle relaxants": [
-        "cyclobenzaprine", "baclofen", "carisoprodol", "metaxalone", "methocarbamol", "tizanidine",
-        "orphenadrine",
-    ],
-}
+ALCOHOL = ["Alcohol", "ethanol", "ethanolism"]
+OTHERS = [
+    "Amphetamine",
+    # anticonvulsants
+    "Carbamazepine", "clobazam", "oxcarbazepine", "diazepam", "ethosuxamide", "phenytoin", "gabapentin",
+    "lacosamide", "levetiracetam", "phenobarbital", "pregabalin", "lamotrigine", "topiramate", "valproate",
+    "valproic acid", "zonisamide",
+    # antidepressants
+    "Citalopram", "fluoxetine", "fluvoxamine", "paroxetine", "sertraline", "buproprion", "venlafaxine",
+    "duloxetine", "desvenlafasxine", "levomilnacipran", "imipramine", "desipramine", "nortriptyline", "doxepin",
+    "trimipramine", "amoxapine", "protriptyline", "trazodone", "mirtazapine",
+    # antihistamines
+    "Diphenydramine", "cetirizine", "chlorpheniramine", "fexofenadine", "loratadine", "hydroxyzine", "doxylamine",
+    "xylazine",
+    # antipsychotics
+    "Risperidone", "quetiapine", "olanzapine", "aripiprazole", "clozapine", "haloperidol", "chlorpromazine",
+    "ziprasidone", "paliperidone", "trifluoperazine", "perphenazine", "fluphenazine", "lurasidone", "pimozide",
+    # barbiturates
+    "Butalbital", "phenobarbital ", "pentobarbital", "butabarbital", "amobarbital",
+    # hallucinogens
+    "Phencycldine", "LSD", "diethylamide", "ketamine", "PCP", "methylenedioxyamphetamine",
+    # MDMA
+    "3,4-methylenedioxymethamphetamine", "MDMA", "methylenedioxymethamphetamine", "3,4-methylenedioxymethaphetamine",
+    # MDA
+    "Methylenedioxyamphetamine", "methylenedioxyamphetamine ", "MDA",
+    # muscle relaxants
+    "Cyclobenzaprine", "baclofen", "carisoprodol", "metaxalone", "methocarbamol", "tizanidine", "orphenadrine",
+]
 
 SUBSTANCES = {
     "Any Opioids": ANY_OPIOIDS,
@@ -78,7 +73,7 @@ SUBSTANCES = {
     "Cocaine": COCAINE,
     "Benzodiazepines": BENZODIAZEPINES,
     "Alcohol": ALCOHOL,
-    "Others": [term for group in OTHERS.values() for term in group],
+    "Others": OTHERS,
 }
 
 # Ordered rules for race and ethnicity. The first pattern found in the lower-cased value
@@ -120,10 +115,6 @@ RACE_RULES = [
     ("unknown", "Unknown"),
 ]
 
-# Indicators left out of the prevalence charts, and one label shown differently.
-HIDDEN_INDICATORS = ["Dextromethorphan", "Opioid", "Xanax", "Others", "Flualprazolam"]
-INDICATOR_LABELS = {"Prescription.opioids": "Prescription opioids"}
-
 # The public Snowball list of English stop words.
 SNOWBALL_ENGLISH = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
