@@ -139,9 +139,10 @@ def test_refitted_bootstrap(notes):
     assert ci["f_score_lower"] <= ci["f_score"] <= ci["f_score_upper"]
 
 
-def test_knn_survives_saving(spark, points, rows):
-    model = models.fit_model("knn", QUICK["knn"], points)
-    path = new_table_path(spark, "knn")
+@pytest.mark.parametrize("name", ["knn", "mlp"])
+def test_models_of_our_own_survive_saving(spark, points, rows, name):
+    model = models.fit_model(name, QUICK[name], points)
+    path = new_table_path(spark, name)
     models.save_models({"x.y z": models.Labeller(features.VectorRecipe("emb"), model)}, path)
     back = models.load_models(path)["x.y z"]
     raw = points.select("id", "emb")

@@ -1,8 +1,8 @@
 """Classifier registry: name -> tuning space and `pyspark.ml` pipeline, plus fitted-model helpers.
 
-All models learn the event "label = 1". Two parameters have no `pyspark.ml` counterpart: the network has
-no weight penalty, so only units and iterations are tuned, and the linear SVM has no probabilities, so its
-margin is calibrated by a one-feature logistic regression (Platt scaling) fitted on the same rows.
+All models learn the event "label = 1". The network of `pyspark.ml` has neither a weight penalty nor row weights, so
+it comes from `network.py`. The linear SVM has no probabilities, so its margin is calibrated by a one-feature
+logistic regression (Platt scaling) fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from textlabel.operators.features import EmbeddingModel, TfidfModel, VectorRecipe
 from textlabel.operators.joins import BROADCAST_BYTES, measured_bytes
 from textlabel.operators.neighbours import KERNELS, knn, knn_vote, vote_in_place
+from textlabel.plans.network import Networks, fit_networks
 
 Params = Mapping[str, object]
 FEATURES, TRUTH, WEIGHT = "features", "truth", "weight"
@@ -128,14 +128,18 @@ def _svm(p: Params, dim: int, weight: str | None, seed: int):
     return [svc, one, platt]
 
 
+@dataclass
+class NetworkClassifier:
+    params: dict
+    weight: str | None
+    seed: int
+
+    def fit(self, df: DataFrame) -> Networks:
+        return fit_networks(df, [TRUTH], [self.params], features=FEATURES, weight=self.weight, seed=self.seed)
+
+
 def _mlp(p: Params, dim: int, weight: str | None, seed: int):
-    return MultilayerPerceptronClassifier(
-        layers=[dim, int(p.get("hidden_units", 5)), 2],
-        maxIter=int(p.get("epochs", 50)),
-        seed=seed,
-        featuresCol=FEATURES,
-        labelCol=TRUTH,
-    )
+    return NetworkClassifier({"hidden_units": 5, "epochs": 50, **p}, weight, seed)
 
 
 @dataclass
@@ -185,6 +189,7 @@ def _knn(p: Params, dim: int, weight: str | None, seed: int):
     return KnnClassifier(int(p.get("neighbors", 5)), str(p.get("weight_func", "uniform")))
 
 
+Fitted = PipelineModel | KnnModel | Networks
 SUBSET = real(0.1, 1.0)
 MODELS: dict[str, ModelSpec] = {
     m.name: m
@@ -197,7 +202,7 @@ MODELS: dict[str, ModelSpec] = {
         ModelSpec("gbt", "Gradient boosting", _gbt, {"trees": whole(10, 100), "depth": whole(2, 8), "mtry": SUBSET}),
         ModelSpec("knn", "KNN", _knn, {"neighbors": whole(1, 15), "weight_func": one_of(KERNELS)}, weights=False),
         ModelSpec("svm", "SVM", _svm, {"cost": log_uniform(-10, 5, 2.0)}),
-        ModelSpec("mlp", "MLP", _mlp, {"hidden_units": whole(1, 10), "epochs": whole(10, 200)}, weights=False),
+        ModelSpec("mlp", "MLP", _mlp, {"hidden_units": whole(1, 10), "penalty": log_uniform(-10, 0), "epochs": whole(10, 1000)}),
         ModelSpec("lasso", "Lasso", _lasso, {"penalty": log_uniform(-5, 0)}),
     ]
 }
@@ -234,7 +239,7 @@ def _drop_summary(stage: object) -> None:
 
 def fit_model(
     spec: ModelSpec | str, params: Params, train: DataFrame, weight: str | None = None, seed: int = 100
-) -> PipelineModel | KnnModel:
+) -> Fitted:
     """Fit one model on `features` and `truth` (0/1) of the training rows.
 
     `weight` names a column of whole-number weights; models without weights get repeated rows.
@@ -250,13 +255,12 @@ def fit_model(
         weight = None
     if spec.name == "svm":
         params["rows"] = train.count()
-    dim = 0
     if spec.name == "mlp":
-        dim = len(train.select(vector_to_array(FEATURES).alias("v")).first()["v"])
+        return spec.build(params, 0, weight, seed).fit(train)
     data = train.withColumn(TRUTH, F.col(TRUTH).cast("double"))
     if weight:
         data = data.withColumn(weight, F.col(weight).cast("double"))
-    steps = spec.build(params, dim, weight, seed)
+    steps = spec.build(params, 0, weight, seed)
     stages = []
     for step in steps if isinstance(steps, list) else [steps]:
         stage = step.fit(data) if isinstance(step, Estimator) else step
@@ -266,9 +270,9 @@ def fit_model(
     return PipelineModel(stages)
 
 
-def score(model: PipelineModel | KnnModel, df: DataFrame) -> DataFrame:
+def score(model: Fitted, df: DataFrame) -> DataFrame:
     """Add `pred` (0/1), `p0` and `p1`; drop what the model leaves behind."""
-    if isinstance(model, KnnModel):
+    if isinstance(model, (KnnModel, Networks)):
         return model.transform(df)
     out = model.transform(df)
     p = vector_to_array("probability")
@@ -303,7 +307,7 @@ class Labeller:
     """A fitted recipe and classifier for one outcome."""
 
     recipe: TfidfModel | EmbeddingModel | VectorRecipe
-    model: PipelineModel | KnnModel
+    model: Fitted
 
     def transform(self, df: DataFrame) -> DataFrame:
         return score(self.model, self.recipe.transform(df)).drop(FEATURES)
@@ -329,11 +333,12 @@ def save_models(models: Mapping[str, Labeller], path: str) -> None:
             _write_json(folder + "/recipe", {"col": fitted.recipe.col, "out": fitted.recipe.out})
         else:
             fitted.recipe.save(folder + "/recipe")
-        if isinstance(fitted.model, KnnModel):
-            fitted.model.save(folder + "/model")
-        else:
+        stored = "knn" if isinstance(fitted.model, KnnModel) else "network" if isinstance(fitted.model, Networks) else "ml"
+        if stored == "ml":
             fitted.model.write().overwrite().save(folder + "/model")
-        _write_json(folder, {"recipe": kind, "model": "knn" if isinstance(fitted.model, KnnModel) else "ml"})
+        else:
+            fitted.model.save(folder + "/model")
+        _write_json(folder, {"recipe": kind, "model": stored})
     _write_json(path, {"outcomes": list(models)})
 
 
@@ -354,6 +359,8 @@ def load_models(paths: str | Sequence[str]) -> dict[str, Labeller]:
             if kinds["model"] == "knn":
                 meta = _read_json(folder + "/model")
                 model = KnnModel(spark.read.parquet(folder + "/model/train"), meta["k"], meta["kernel"])
+            elif kinds["model"] == "network":
+                model = Networks.load(folder + "/model")
             else:
                 model = PipelineModel.load(folder + "/model")
             out[unquote(outcome)] = Labeller(recipe, model)

@@ -423,8 +423,8 @@ SQL["order_price_roc_auc"] = (
 ERR = (
     f"WITH {PRED} SELECT doc_id, truth, outcome, pred, CASE WHEN truth <> pred THEN 1 ELSE 0 END AS error, md5(text) AS text"
 )
-SQL["error_rows"] = f"{ERR} FROM pred LEFT JOIN documents USING (doc_id) WHERE outcome = 'any_rare'"
-SQL["error_rows_all_columns"] = f"{ERR}, lang, source, n_chars FROM pred LEFT JOIN documents USING (doc_id) WHERE outcome = 'any_rare'"
+SQL["error_rows"] = f"{ERR} FROM pred LEFT JOIN documents USING (doc_id)"
+SQL["error_rows_all_columns"] = f"{ERR}, lang, source, n_chars FROM pred LEFT JOIN documents USING (doc_id)"
 MADE = [(k, c) for k in FLAGS for c in ("substring", "word")]
 FOLD = (
     "made AS (SELECT doc_id, "
@@ -477,7 +477,7 @@ SQL["top_terms_by_class"] = (
 # --- joins and unions
 SQL["union_metrics"] = (
     f"WITH {LABELLED}, {positives(FLAGS)} SELECT outcome, tp, fp, fn, tn, NULL::BIGINT AS n FROM "
-    f"({confusion_rows([('any_rare', 'quality', 'any_rare')])}) UNION ALL SELECT name, NULL, NULL, NULL, NULL, n FROM prev"
+    f"({confusion_rows([(k, 'quality', k) for k in FLAGS])}) UNION ALL SELECT name, NULL, NULL, NULL, NULL, n FROM prev"
 )
 SQL["natural_join"] = "SELECT doc_id, lang, n_chars, quality, toxic FROM documents NATURAL LEFT JOIN labels"
 SQL["cross_models"] = (

@@ -16,7 +16,7 @@ from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
 from textlabel.operators import concepts, densities, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
-from textlabel.plans import models, path, report, score, tune
+from textlabel.plans import models, network, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
 from textlabel.streaming import scoring
@@ -510,16 +510,14 @@ def order_price_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def error_rows(spark: SparkSession, sf: str) -> DataFrame:
-    pred = flag_predictions(spark, sf).filter(F.col("outcome") == "any_rare")
     docs = table(spark, sf, "documents")
-    out = joins.error_analysis(pred, docs, "doc_id", ["text"])
+    out = joins.error_analysis(flag_predictions(spark, sf), docs, "doc_id", ["text"])
     return out.withColumn("text", F.md5("text"))
 
 
 @query
 def error_rows_all_columns(spark: SparkSession, sf: str) -> DataFrame:
-    pred = flag_predictions(spark, sf).filter(F.col("outcome") == "any_rare")
-    out = joins.error_analysis(pred, table(spark, sf, "documents"), "doc_id", None)
+    out = joins.error_analysis(flag_predictions(spark, sf), table(spark, sf, "documents"), "doc_id", None)
     return out.withColumn("text", F.md5("text"))
 
 
@@ -607,7 +605,7 @@ def top_terms_by_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def union_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    conf = metrics.confusion_wide(labelled_flags(spark, sf), {"any_rare": ("quality", "any_rare")})
+    conf = metrics.confusion_wide(labelled_flags(spark, sf), {k: ("quality", k) for k in FLAGS})
     counts = describe.prevalence(flags(spark, sf), FLAGS).select(F.col("name").alias("outcome"), "n")
     return joins.union_all([conf, counts])
 
@@ -785,21 +783,36 @@ def lasso_importance(spark: SparkSession, sf: str) -> DataFrame:
     return report.top_terms(models.importance(model, recipe.terms))
 
 
-@query
-def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine outcomes, 30 penalties, ten folds on TF-IDF: out-of-fold metrics of each, from one joint fit of at most 20 steps;
-    a few runs with the smallest penalties, whose outcomes are nearly separable, would take more."""
+def path_rows(spark: SparkSession, sf: str, v: int) -> DataFrame:
+    """(id, features, nine outcomes, fold): TF-IDF of all documents."""
     docs = texts(spark, sf)
     recipe = features.TfidfRecipe().fit(docs)
     flagged = recode.tag_keywords(recipe.transform(docs), "text", DEMO).select(F.col("doc_id").alias("id"), "features", *FLAGS)
     # Rows with the same outcomes are spread evenly over the folds, which evens out each outcome.
     pattern = F.concat_ws("", *[F.col(f).cast("string") for f in FLAGS])
-    rows = settle(resample.stratified_folds(flagged.withColumn("pattern", pattern), "id", "pattern", 10), "path-features")
+    return settle(resample.stratified_folds(flagged.withColumn("pattern", pattern), "id", "pattern", v), "path-features")
+
+
+@query
+def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine outcomes, 30 penalties, ten folds on TF-IDF: out-of-fold metrics of each, from one joint fit of at most 20 steps;
+    a few runs with the smallest penalties, whose outcomes are nearly separable, would take more."""
+    rows = path_rows(spark, sf, 10)
     fitted = path.fit_path(rows, FLAGS, v=10, max_steps=20)
     pred = settle(fitted.predict(rows), "path-predictions").withColumn("model", F.lit("recipe_Lasso"))
     return rounded(metrics.collect_metrics(tune.evaluate(pred)))
 
 
+@query
+def network_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine outcomes, ten sets of units, penalty and epochs, ten folds on TF-IDF: out-of-fold metrics of each from one joint fit."""
+    rows = path_rows(spark, sf, 10)
+    space = {**models.MODELS["mlp"].space, "epochs": models.whole(10, 60)}
+    fitted = network.fit_networks(rows, FLAGS, models.random_grid(space, 10), v=10)
+    pred = settle(fitted.predict(rows), "network-predictions").withColumn("model", F.lit("recipe_MLP"))
+    return rounded(metrics.collect_metrics(tune.evaluate(pred)))
+
+
 @query
 def tuned_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Small tuning run: two outcomes, TF-IDF, two models, three folds."""
