@@ -11,7 +11,7 @@ from textlabel.session import new_table_path
 
 QUICK = {
     "random_forest": {"trees": 5, "min_n": 2, "mtry": 0.5},
-    "gbt": {"trees": 3, "depth": 2, "mtry": 0.9},
+    "gbt": {"trees": 5, "depth": 2, "mtry": 1.0},
     "knn": {"neighbors": 5, "weight_func": "gaussian"},
     "svm": {"cost": 1.0, "max_iter": 20},
     "mlp": {"hidden_units": 3, "epochs": 20},
@@ -60,8 +60,9 @@ def test_strong_penalty_empties_the_lasso(points):
     assert top.count() >= 1 and top.filter("importance = 0").count() == 0
 
 
-def test_tree_importance(points):
-    imp = models.importance(models.fit_model("random_forest", QUICK["random_forest"], points), ["x", "y", "z"])
+@pytest.mark.parametrize("name", ["random_forest", "gbt"])
+def test_tree_importance(points, name):
+    imp = models.importance(models.fit_model(name, QUICK[name], points), ["x", "y", "z"])
     rows = {r["variable"]: r["importance"] for r in imp.collect()}
     assert math.isclose(sum(rows.values()), 1, abs_tol=1e-6) and max(rows, key=rows.get) == "x"
 
@@ -139,7 +140,7 @@ def test_refitted_bootstrap(notes):
     assert ci["f_score_lower"] <= ci["f_score"] <= ci["f_score_upper"]
 
 
-@pytest.mark.parametrize("name", ["knn", "mlp"])
+@pytest.mark.parametrize("name", ["knn", "mlp", "gbt"])
 def test_models_of_our_own_survive_saving(spark, points, rows, name):
     model = models.fit_model(name, QUICK[name], points)
     path = new_table_path(spark, name)

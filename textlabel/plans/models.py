@@ -1,8 +1,8 @@
 """Classifier registry: name -> tuning space and `pyspark.ml` pipeline, plus fitted-model helpers.
 
 All models learn the event "label = 1". The network of `pyspark.ml` has neither a weight penalty nor row weights, so
-it comes from `network.py`. The linear SVM has no probabilities, so its margin is calibrated by a one-feature
-logistic regression (Platt scaling) fitted on the same rows.
+it comes from `network.py`; its boosted trees are of first order, so they come from `boosting.py`. The linear SVM has
+no probabilities, so its margin is calibrated by a one-feature logistic regression (Platt scaling) fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from urllib.parse import quote, unquote
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from textlabel.operators.features import EmbeddingModel, TfidfModel, VectorRecipe
 from textlabel.operators.joins import BROADCAST_BYTES, measured_bytes
 from textlabel.operators.neighbours import KERNELS, knn, knn_vote, vote_in_place
+from textlabel.plans.boosting import Boosted, fit_boosted
 from textlabel.plans.network import Networks, fit_networks
 
 Params = Mapping[str, object]
@@ -100,15 +100,18 @@ def _random_forest(p: Params, dim: int, weight: str | None, seed: int):
     )
 
 
+@dataclass
+class BoostedClassifier:
+    params: dict
+    weight: str | None
+    seed: int
+
+    def fit(self, df: DataFrame) -> Boosted:
+        return fit_boosted(df, [TRUTH], [self.params], features=FEATURES, weight=self.weight, seed=self.seed)
+
+
 def _gbt(p: Params, dim: int, weight: str | None, seed: int):
-    strategy = _subset(p) if "mtry" in p else "all"
-    return GBTClassifier(
-        maxIter=int(p.get("trees", 20)),
-        maxDepth=int(p.get("depth", 4)),
-        featureSubsetStrategy=strategy,
-        seed=seed,
-        **_common(weight),
-    )
+    return BoostedClassifier(dict(p), weight, seed)
 
 
 def _svm(p: Params, dim: int, weight: str | None, seed: int):
@@ -189,7 +192,8 @@ def _knn(p: Params, dim: int, weight: str | None, seed: int):
     return KnnClassifier(int(p.get("neighbors", 5)), str(p.get("weight_func", "uniform")))
 
 
-Fitted = PipelineModel | KnnModel | Networks
+Fitted = PipelineModel | KnnModel | Networks | Boosted
+OWN = {"knn": KnnModel, "network": Networks, "boosted": Boosted}
 SUBSET = real(0.1, 1.0)
 MODELS: dict[str, ModelSpec] = {
     m.name: m
@@ -199,7 +203,10 @@ MODELS: dict[str, ModelSpec] = {
         ModelSpec(
             "random_forest", "Random forest", _random_forest, {"trees": whole(20, 200), "min_n": whole(2, 40), "mtry": SUBSET}
         ),
-        ModelSpec("gbt", "Gradient boosting", _gbt, {"trees": whole(10, 100), "depth": whole(2, 8), "mtry": SUBSET}),
+        ModelSpec(
+            "gbt", "Gradient boosting", _gbt,
+            {"trees": whole(10, 100), "depth": whole(2, 8), "learn_rate": log_uniform(-3, -0.5), "min_n": real(2, 40), "loss_reduction": log_uniform(-10, 1.5), "mtry": SUBSET},
+        ),
         ModelSpec("knn", "KNN", _knn, {"neighbors": whole(1, 15), "weight_func": one_of(KERNELS)}, weights=False),
         ModelSpec("svm", "SVM", _svm, {"cost": log_uniform(-10, 5, 2.0)}),
         ModelSpec("mlp", "MLP", _mlp, {"hidden_units": whole(1, 10), "penalty": log_uniform(-10, 0), "epochs": whole(10, 1000)}),
@@ -255,7 +262,7 @@ def fit_model(
         weight = None
     if spec.name == "svm":
         params["rows"] = train.count()
-    if spec.name == "mlp":
+    if spec.name in ("mlp", "gbt"):
         return spec.build(params, 0, weight, seed).fit(train)
     data = train.withColumn(TRUTH, F.col(TRUTH).cast("double"))
     if weight:
@@ -272,7 +279,7 @@ def fit_model(
 
 def score(model: Fitted, df: DataFrame) -> DataFrame:
     """Add `pred` (0/1), `p0` and `p1`; drop what the model leaves behind."""
-    if isinstance(model, (KnnModel, Networks)):
+    if isinstance(model, tuple(OWN.values())):
         return model.transform(df)
     out = model.transform(df)
     p = vector_to_array("probability")
@@ -280,9 +287,16 @@ def score(model: Fitted, df: DataFrame) -> DataFrame:
     return out.drop(*SCRATCH)
 
 
-def importance(model: PipelineModel, terms: Sequence[str]) -> DataFrame:
+def importance(model: PipelineModel | Boosted, terms: Sequence[str]) -> DataFrame:
     """(variable, importance, sign): size of a coefficient and the direction of its effect on the event,
-    or the impurity importance of a tree model. The vocabulary is at most a few thousand terms."""
+    the impurity importance of a forest, or the share of the splits of boosted trees. The vocabulary is at most a few
+    thousand terms."""
+    if isinstance(model, Boosted):
+        used = model.importance()
+        if len(used) != len(terms):
+            raise ValueError(f"{len(terms)} terms for {len(used)} features")
+        shares = [(t, float(n) / max(int(used.sum()), 1), "Importance") for t, n in zip(terms, used)]
+        return SparkSession.active().createDataFrame(shares, "variable string, importance double, sign string")
     # Of several stages (a margin and its calibration) the first one that works on the features counts.
     fitted = [s for s in model.stages if hasattr(s, "coefficients") or hasattr(s, "featureImportances")]
     if not fitted:
@@ -333,7 +347,7 @@ def save_models(models: Mapping[str, Labeller], path: str) -> None:
             _write_json(folder + "/recipe", {"col": fitted.recipe.col, "out": fitted.recipe.out})
         else:
             fitted.recipe.save(folder + "/recipe")
-        stored = "knn" if isinstance(fitted.model, KnnModel) else "network" if isinstance(fitted.model, Networks) else "ml"
+        stored = next((k for k, kind_of in OWN.items() if isinstance(fitted.model, kind_of)), "ml")
         if stored == "ml":
             fitted.model.write().overwrite().save(folder + "/model")
         else:
@@ -359,8 +373,8 @@ def load_models(paths: str | Sequence[str]) -> dict[str, Labeller]:
             if kinds["model"] == "knn":
                 meta = _read_json(folder + "/model")
                 model = KnnModel(spark.read.parquet(folder + "/model/train"), meta["k"], meta["kernel"])
-            elif kinds["model"] == "network":
-                model = Networks.load(folder + "/model")
+            elif kinds["model"] in OWN:
+                model = OWN[kinds["model"]].load(folder + "/model")
             else:
                 model = PipelineModel.load(folder + "/model")
             out[unquote(outcome)] = Labeller(recipe, model)

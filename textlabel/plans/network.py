@@ -7,7 +7,7 @@ with the weights of all of them; the sums per run reach the driver, which moves
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -181,6 +181,52 @@ class Descent:
         self.done |= not np.any(self.grad)
 
 
+def predictions(rows: DataFrame, id_col: str, fold: str | None, features: str, outcomes: list[str], configs: int, runs: Sequence, odds: Callable) -> DataFrame:
+    """(outcome, config, fold, id, truth, pred, p0, p1) of a joint fit; `odds` gives the log odds of rows by runs."""
+    at = {(r.fold, r.outcome, r.config): i for i, r in enumerate(runs)}
+    cells = [(o, c) for o in range(len(outcomes)) for c in range(configs)]
+    truths = [F.lit(None).cast("double") if fold is None else F.col(f"`{o}`").cast("double") for o in outcomes]
+    held = F.lit(-1) if fold is None else F.col(fold)
+    narrow = rows.select(held.cast("long").alias("_f"), F.array(*truths).alias("_y"), F.lit(1.0).alias("_w"), feature_array(rows, features).alias("_x"), F.col(id_col).alias("_id"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for folds, _, _, x in blocks(iter([batch])):
+                p = np.empty((len(x), len(cells)))
+                for f in np.unique(folds).tolist():
+                    mine = folds == f
+                    p[mine] = _logistic(odds([at[f, *cell] for cell in cells], x[mine]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(cells)), pa.array(p.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, len(x)) for i in (4, 0, 1)], lists], names=["id", "fold", "y", "p"])
+                start += len(x)
+
+    id_type = rows.schema[id_col].dataType.simpleString()
+    wide = narrow.filter(F.col("_x").isNotNull()).mapInArrow(each, f"id {id_type}, fold long, y array<double>, p array<double>")
+    cell = wide.select("id", "fold", "y", F.posexplode("p").alias("k", "p1"))
+    place = F.floor(F.col("k") / configs).cast("int")
+    return cell.select(
+        F.get(F.array(*[F.lit(o) for o in outcomes]), place).alias("outcome"), F.format_string("Model%02d", F.col("k") % configs + 1).alias("config"), "fold", "id",
+        F.get("y", place).cast("int").alias("truth"), (F.col("p1") > 0.5).cast("int").alias("pred"), (1 - F.col("p1")).alias("p0"), "p1",
+    )
+
+
+def with_shares(df: DataFrame, features: str, odds: Callable) -> DataFrame:
+    """Add `p0`, `p1` and `pred` from the log odds of rows; NULL without features."""
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        known = x.notna().to_numpy()
+        if known.any():
+            values = np.stack(x[known].tolist()).astype(float)
+            out[known] = _logistic(odds(np.hstack([np.ones((len(values), 1)), values])))
+        return pd.Series(out).astype(object).where(known, None)
+
+    out = df.withColumn("p1", share(feature_array(df, features)))
+    return out.withColumn("p0", 1 - F.col("p1")).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
+
+
 @dataclass
 class Networks:
     """Weights (run, width * units + units + 1); runs with fewer units have zeros in the others."""
@@ -196,52 +242,15 @@ class Networks:
     def predict(self, rows: DataFrame, id_col: str = "id", fold: str | None = "fold", features: str = "features") -> DataFrame:
         """(outcome, config, fold, id, truth, pred, p0, p1): each row by the runs that left its fold out, or by those that saw
         all folds (`fold=None`; truth is then NULL). `config` numbers the parameter sets from 1. Row by row."""
-        at = {(r.fold, r.outcome, r.config): i for i, r in enumerate(self.runs)}
-        cells = [(o, c) for o in range(len(self.outcomes)) for c in range(len(self.configs))]
-        theta, units, outcomes, k = self.theta, self.units, self.outcomes, len(self.configs)
-        truths = [F.lit(None).cast("double") if fold is None else F.col(f"`{o}`").cast("double") for o in outcomes]
-        held = F.lit(-1) if fold is None else F.col(fold)
-        narrow = rows.select(held.cast("long").alias("_f"), F.array(*truths).alias("_y"), F.lit(1.0).alias("_w"), feature_array(rows, features).alias("_x"), F.col(id_col).alias("_id"))
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                start = 0
-                for folds, _, _, x in blocks(iter([batch])):
-                    p = np.empty((len(x), len(cells)))
-                    for f in np.unique(folds).tolist():
-                        mine = folds == f
-                        p[mine] = _logistic(forward(theta[[at[f, *cell] for cell in cells]], x[mine], units)[1])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(cells)), pa.array(p.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, len(x)) for i in (4, 0, 1)], lists], names=["id", "fold", "y", "p"])
-                    start += len(x)
-
-        id_type = rows.schema[id_col].dataType.simpleString()
-        wide = narrow.filter(F.col("_x").isNotNull()).mapInArrow(each, f"id {id_type}, fold long, y array<double>, p array<double>")
-        cell = wide.select("id", "fold", "y", F.posexplode("p").alias("k", "p1"))
-        place = F.floor(F.col("k") / k).cast("int")
-        return cell.select(
-            F.get(F.array(*[F.lit(o) for o in outcomes]), place).alias("outcome"), F.format_string("Model%02d", F.col("k") % k + 1).alias("config"), "fold", "id",
-            F.get("y", place).cast("int").alias("truth"), (F.col("p1") > 0.5).cast("int").alias("pred"), (1 - F.col("p1")).alias("p0"), "p1",
-        )
+        theta, units = self.theta, self.units
+        return predictions(rows, id_col, fold, features, self.outcomes, len(self.configs), self.runs, lambda at, x: forward(theta[at], x, units)[1])
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Add `p0`, `p1` and `pred` of the only run. Rows without features get NULL."""
         if len(self.runs) != 1:
             raise ValueError("several runs: use `predict`")
         theta, units = self.theta, self.units
-
-        @F.pandas_udf("double")
-        def share(x: pd.Series) -> pd.Series:
-            out = np.full(len(x), np.nan)
-            known = x.notna().to_numpy()
-            if known.any():
-                values = np.stack(x[known].tolist()).astype(float)
-                out[known] = _logistic(forward(theta, np.hstack([np.ones((len(values), 1)), values]), units)[1][:, 0])
-            return pd.Series(out).astype(object).where(known, None)
-
-        out = df.withColumn("p1", share(feature_array(df, features)))
-        return out.withColumn("p0", 1 - F.col("p1")).withColumn("pred", (F.col("p1") > 0.5).cast("int"))
-
+        return with_shares(df, features, lambda x: forward(theta, x, units)[1][:, 0])
 
     def save(self, path: str) -> None:
         keep = [(json.dumps({"outcomes": self.outcomes, "configs": self.configs, "units": self.units}), [asdict(r) for r in self.runs], self.theta.tolist(), self.value.tolist(), self.steps.tolist())]

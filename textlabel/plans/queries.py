@@ -16,7 +16,7 @@ from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
 from textlabel.operators import concepts, densities, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
-from textlabel.plans import models, network, path, report, score, tune
+from textlabel.plans import boosting, models, network, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
 from textlabel.streaming import scoring
@@ -813,6 +813,16 @@ def network_tuning(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.collect_metrics(tune.evaluate(pred)))
 
 
+@query
+def boosted_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine outcomes, three sets of parameters of boosted trees, ten folds on TF-IDF: out-of-fold metrics of each from one joint fit."""
+    rows = path_rows(spark, sf, 10)
+    space = {**models.MODELS["gbt"].space, "trees": models.whole(5, 15), "depth": models.whole(2, 4)}
+    fitted = boosting.fit_boosted(rows, FLAGS, models.random_grid(space, 3), v=10, bins=32)
+    pred = settle(fitted.predict(rows), "boosted-predictions").withColumn("model", F.lit("recipe_Gradient.boosting"))
+    return rounded(metrics.collect_metrics(tune.evaluate(pred)))
+
+
 @query
 def tuned_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Small tuning run: two outcomes, TF-IDF, two models, three folds."""
