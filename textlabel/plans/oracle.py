@@ -474,6 +474,12 @@ SQL["top_terms_by_class"] = (
     "SELECT variable, importance, sign FROM r WHERE r <= 10"
 )
 
+SQL["bootstrap_exact_draws"] = "SELECT r.range AS replicate, (SELECT count(*) FROM orders) AS n, true AS near FROM range(1, 1001) r"
+SQL["basket_pairs"] = (
+    "WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS part_a, y.l_partkey AS part_b, count(*) AS n "
+    "FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.l_partkey <= y.l_partkey GROUP BY ALL"
+)
+
 # --- joins and unions
 SQL["union_metrics"] = (
     f"WITH {LABELLED}, {positives(FLAGS)} SELECT outcome, tp, fp, fn, tn, NULL::BIGINT AS n FROM "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, densities, describe, features, joins, metrics, neighbours, ranking, recode, replicates, resample, terms, tokens
+from textlabel.operators import concepts, densities, describe, draws, features, joins, metrics, neighbours, pairs, ranking, recode, replicates, resample, terms, tokens
 from textlabel.plans import boosting, models, network, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -505,6 +505,23 @@ def order_price_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.roc_auc(rows, "o_totalprice"))
 
 
+@query
+def bootstrap_exact_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """1,000 resamples of exactly n orders: draws, and whether the mean price lies within six standard errors of that of all orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    sums = draws.weighted_sums(draws.exact_weights(orders, "o_orderkey", 1000), ["o_totalprice"], 1000)
+    whole = orders.agg(F.avg("o_totalprice").alias("mean"), (6 * F.stddev("o_totalprice") / F.sqrt(F.count(F.lit(1)))).alias("far"))
+    near_mean = F.abs(F.col("o_totalprice") / F.col("n") - F.col("mean")) <= F.col("far")
+    return sums.join(F.broadcast(whole)).select("replicate", "n", near_mean.alias("near"))  # `whole` is one row
+
+
+@query
+def basket_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """How many orders hold two parts together, for all parts."""
+    baskets = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return pairs.pair_counts(baskets, "parts").select(F.col("a").cast("long").alias("part_a"), F.col("b").cast("long").alias("part_b"), "n")
+
+
 # --- errors, folds and ranking ------------------------------------------------------------------
 
 
