@@ -284,11 +284,6 @@ def fit_networks(
         held.alias("_f"), F.array(*[F.col(f"`{o}`").cast("double") for o in outcomes]).alias("_y"), heavy.alias("_w"), feature_array(rows, features).alias("_x")
     ).filter(F.col("_x").isNotNull())
     narrow = settle(narrow, "network-rows", even=True)
-    if tasks is None:
-        tasks = max(1, min(2 * rows.sparkSession.sparkContext.defaultParallelism, narrow.count() // ROWS_AT_ONCE))
-    if narrow.rdd.getNumPartitions() < tasks:
-        narrow = settle(narrow.repartition(tasks, F.xxhash64("_x")), "network-rows")
-    tasks = max(tasks, narrow.rdd.getNumPartitions())
     first = narrow.first()
     if first is None:
         raise ValueError("no rows to fit on")
@@ -298,6 +293,12 @@ def fit_networks(
         Run(o, k, int(c.get("hidden_units", 5)), float(c.get("penalty", 0.0)), int(c.get("epochs", 100)), f)
         for o in range(len(outcomes)) for k, c in enumerate(configs) for f in (-1, *range(v))
     ]
+    if tasks is None:  # some thousand rows of one run are work for a task
+        tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, narrow.count() * len(runs) // (32 * ROWS_AT_ONCE)))
+    parts = narrow.rdd.getNumPartitions()
+    if parts < tasks:
+        narrow = settle(narrow.repartition(tasks, F.xxhash64("_x")), "network-rows")
+    tasks = max(tasks, parts)
     used = {r.units: _used(width, units, r.units) for r in runs}
     start = np.random.default_rng(seed).uniform(-START, START, width * units + units + 1)
     ways = [Descent(np.where(used[r.units], start, 0.0), r.epochs, tol) for r in runs]
