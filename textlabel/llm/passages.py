@@ -17,11 +17,11 @@ from textlabel.llm.components import connected_components
 from textlabel.llm.names import column, fresh
 from textlabel.session import settle
 
-_LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
 # Words of the stretches: scripts without blanks count each character as one.
 _BARE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[{_BARE}]|[^\s{_BARE}]+")
+_FIRST_BARE = "\u0e00"
 # A line of more words than this is cut at some of its sentence ends.
 LONG_LINE = 80
 # Two documents that share so many words in a row share a stretch.
@@ -30,6 +30,7 @@ STRETCH = 50
 _GLUE = "\x1f"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WINDOWS_AT_ONCE = 1 << 14
+_SHINGLES_AT_ONCE = 1 << 14
 
 
 def tune_bands(threshold: float, recall: float = 0.999, most: int = 256) -> tuple[int, int]:
@@ -45,27 +46,64 @@ def tune_bands(threshold: float, recall: float = 0.999, most: int = 256) -> tupl
     raise ValueError("no banding reaches this recall")
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One mixed number for each `width` neighbours in a row."""
+    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    for i in range(width):
+        out = out * _MULT + hashes[i : i + len(out)]
+    out = (out ^ (out >> np.uint64(29))) * _MULT
+    return out ^ (out >> np.uint64(32))
+
+
+def _lowered(text: str, words: list[str]) -> list[str]:
+    """The words in lower case; the whole text at once where no letter changes its length or depends on its neighbours."""
+    low = text.lower()
+    if len(low) == len(text) and "\u03a3" not in text:
+        found = low.split()
+        if len(found) == len(words):
+            return found
+    return [w.lower() for w in words]
+
+
+def _placed(text: str, words: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words, which are all matches of the pattern."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    before = np.ones(len(words), np.int64)
+    if not words or len(text) != size.sum() + len(words) - 1 or text[:1].isspace() or text[-1:].isspace():
+        before = np.fromiter(map(len, pattern.split(text)[:-1]), np.int64, len(words))
+    elif words:
+        before[0] = 0
+    ends = np.cumsum(size + before)
+    return ends - size, ends
+
+
 def lines(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of each line of at least `min_words` words.
 
     Lines of more than LONG_LINE words are cut after sentence ends, at those that a hash of the two words before chooses (every
     second one): the same passage within two long lines is so cut at the same places, whatever stands around it."""
-    out = []
-    for line in _LINE.finditer(text):
-        words = line[0].lower().split()
+    out, at = [], 0
+    for line in text.split("\n"):
+        begin, at = at, at + len(line) + 1
+        plain = line.split()
+        if len(plain) < min_words:
+            continue
+        words = _lowered(line, plain)
         if len(words) <= LONG_LINE:
-            if len(words) >= min_words:
-                out.append((line.start(), line.end(), words))
+            out.append((begin, begin + len(line), words))
             continue
-        spots = [(line.start() + m.start(), line.start() + m.end(), m[0].lower()) for m in _WORD.finditer(line[0])]
+        starts, ends = _placed(line, plain, _WORD)
         first = 0
-        for i in range(len(spots)):
-            word = spots[i][2]
-            cut = word[-1] in ".!?" and i > 0 and xxhash.xxh32_intdigest(f"{spots[i - 1][2]} {word}") % 2 == 0
-            if cut or i == len(spots) - 1:
-                if i + 1 - first >= min_words:
-                    out.append((spots[first][0], spots[i][1], [w for _, _, w in spots[first : i + 1]]))
-                first = i + 1
+        for i in [i for i, w in enumerate(words) if w[-1] in ".!?" or i == len(words) - 1]:
+            if i < len(words) - 1 and not (i and xxhash.xxh32_intdigest(f"{words[i - 1]} {words[i]}") % 2 == 0):
+                continue
+            if i + 1 - first >= min_words:
+                out.append((begin + int(starts[first]), begin + int(ends[i]), words[first : i + 1]))
+            first = i + 1
     return out
 
 
@@ -93,20 +131,16 @@ def stretches(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
     that stand in two documents hold a run that is chosen in both. As the words are given as one, only equal runs are
     similar. `start` is the end of the word before: cutting takes the blank along, and no line starts there. The first
     word of a text has none before it, so the first run is left out of the choice; the bound above allows for that."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    blanks_only = text.isascii() or max(text, default="") < _FIRST_BARE
+    tokens = text.split() if blanks_only else _TOKEN.findall(text)
     reach = max(STRETCH, 2 * min_words) - min_words
-    count = len(spans) - min_words + 1
-    if count <= reach:
+    if len(tokens) - min_words + 1 <= reach:
         return []
-    words = [text[a:b].lower() for a, b in spans]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    grams = np.zeros(count, np.uint64)
-    for i in range(min_words):
-        grams = grams * _MULT + hashes[i : i + count]
-    grams = (grams ^ (grams >> np.uint64(29))) * _MULT
-    grams ^= grams >> np.uint64(32)
+    words = _lowered(text, tokens) if blanks_only else [w.lower() for w in tokens]
+    starts, ends = _placed(text, tokens, _WORD if blanks_only else _TOKEN)
+    grams = _rolled(_hashes(words), min_words)
     chosen = [i + 1 for i in _chosen(grams[1:], reach)]
-    return [(spans[i - 1][1], spans[i + min_words - 1][1], [_GLUE.join(words[i : i + min_words])]) for i in chosen]
+    return [(int(ends[i - 1]), int(ends[i + min_words - 1]), [_GLUE.join(words[i : i + min_words])]) for i in chosen]
 
 
 def paragraphs(text: str, min_words: int) -> list[tuple[int, int, list[str]]]:
@@ -126,12 +160,14 @@ def _units(min_words: int, with_text: bool):
                 # Stretches match as a whole, by their digests: their words are not needed again.
                 for a, b, words in (lines if with_text else paragraphs)(text or "", min_words):
                     plain = " ".join(words)
-                    digest.append(xxhash.xxh3_128_digest(plain.encode()))
+                    digest.append(xxhash.xxh3_128_digest(plain))
+                    if with_text:
+                        body.append(plain)
+                        continue
                     rows.append(i)
                     start.append(a)
                     end.append(b)
-                    count.append(len(words) + plain.count(_GLUE))
-                    body.append(plain if with_text else None)
+                    count.append(len(words) if len(words) > 1 else plain.count(_GLUE) + 1)
             if with_text:
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(body, pa.string())], names=["digest", "text"])
             else:
@@ -157,19 +193,34 @@ def _sign(width: int, rows: int, bands: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for text in batch.column(1).to_pylist():
-                hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(text.split(" "), width)], np.uint64)
-                mins = np.full((rows * bands, 1), ~np.uint64(0))
-                for i in range(0, len(hashes), 4096):
-                    mixed = hashes[i : i + 4096] * mult + add
-                    mins = np.minimum(mins, (mixed ^ (mixed >> np.uint64(31))).min(1, keepdims=True))
-                parts = mins.reshape(bands, rows)
-                keys.append([xxhash.xxh3_64_intdigest(p.tobytes(), b) for b, p in enumerate(parts)])
-            flat = np.array(keys, np.uint64).reshape(len(keys), bands).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(flat), pa.list_(pa.int64()))], names=["digest", "text", "bands"]
-            )
+            texts = batch.column(1).to_pylist()
+            if not texts:
+                continue
+            sizes = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+            words = _hashes(" ".join(texts).split(" "))
+            ends = np.cumsum(sizes)
+            wide = sizes >= width
+            # Shingles of all texts in one go; those that reach into the next text are left out.
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            whole = np.flatnonzero(np.arange(len(words)) + width <= np.repeat(ends, sizes))
+            mins = np.full((rows * bands, len(texts)), ~np.uint64(0))
+            grams = _rolled(words, width)[whole] if len(whole) else np.zeros(0, np.uint64)
+            owner = owner[whole]
+            for i in range(0, len(grams), _SHINGLES_AT_ONCE):
+                mixed = grams[i : i + _SHINGLES_AT_ONCE] * mult + add
+                mixed ^= mixed >> np.uint64(31)
+                names, first = np.unique(owner[i : i + _SHINGLES_AT_ONCE], return_index=True)
+                mins[:, names] = np.minimum(mins[:, names], np.minimum.reduceat(mixed, first, axis=1))
+            for i in np.flatnonzero(~wide):  # a text of fewer words is its only shingle
+                mixed = _rolled(words[ends[i] - sizes[i] : ends[i]], int(sizes[i])) * mult + add
+                mins[:, i : i + 1] = mixed ^ (mixed >> np.uint64(31))
+            keys = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(texts), 1)
+            for row in range(rows):
+                keys = keys * _MULT + mins[row::rows]
+                keys ^= keys >> np.uint64(29)
+            flat = np.ascontiguousarray((keys * _MULT).T).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["digest", "text", "bands"])
 
     return each
 
