@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textlabel.functions.text import ngram_array, tokenize
 from textlabel.operators.joins import lookup_join
+from textlabel.operators.scan import scan_aliases
 
 CONCEPT = ["entity", "cui", "semantic_type"]
 # More different alias lengths than this are made by one loop over them instead of one expression for each.
@@ -95,6 +96,19 @@ def similar_grams(surfaces: DataFrame, aliases: DataFrame, threshold: float) ->
     return pairs.select(F.col("s").alias("gram"), F.col("a").alias("alias"), "score").distinct()
 
 
+def scan(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "text", overlaps: str = "all") -> DataFrame:
+    """Exact mentions (id, pos, gram, entity, cui, semantic_type) by one pass over each text, whatever lengths aliases have.
+
+    All of them as in `annotate`, or with `overlaps="longest"` the longest at each place, read from the left without overlap."""
+    lex = normalise(lexicon)
+    aliases = lex.select("gram").distinct().filter("gram <> ''").select(F.col("gram").alias("alias"), F.split("gram", " ").alias("words"))
+    words = df.select(F.col(id_col).alias("id"), _words(text).alias("words"))
+    found = scan_aliases(words, aliases, overlaps)
+    named = lex.select(F.col("gram").alias("alias"), *CONCEPT)
+    out = lookup_join(found, named, "alias", spread=["id", "pos"])
+    return out.select(F.col("id").alias(id_col), "pos", F.col("alias").alias("gram"), *CONCEPT)
+
+
 def annotate(
     df: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "text", threshold: float = 1.0
 ) -> DataFrame:
@@ -108,6 +122,8 @@ def annotate(
     # The different lengths of aliases in words; one number each, whatever the size of the lexicon.
     lengths = sorted(r["n_words"] for r in lex.select("n_words").distinct().collect())
     lengths = [n for n in lengths if n > 0]
+    if threshold >= 1.0 and len(lengths) > UNROLLED_LENGTHS:
+        return scan(df, lexicon, id_col, text).withColumn("score", F.lit(1.0))
     grams = surface_grams(df, id_col, text, lengths)
     if threshold >= 1.0:
         found = lookup_join(grams, lex.drop("n_words"), "gram", spread=[id_col, "pos"])

@@ -514,6 +514,27 @@ COLLAPSED = (
     "cs AS (SELECT doc_id, string_agg(cui, ' ' ORDER BY pos, entity) AS cui FROM firsts WHERE r = 1 GROUP BY doc_id)"
 )
 SQL["annotate_concepts"] = f"WITH {MENTIONS} SELECT doc_id, pos, gram, entity, cui, semantic_type FROM men"
+OPENINGS = (
+    f"mdoc AS (SELECT doc_id, regexp_extract_all(lower(text), {q(WORD + '|' + MARK)}) AS w FROM documents), "
+    f"item AS (SELECT regexp_extract_all(lower(text), {q(WORD + '|' + MARK)}) AS w FROM benchmark), "
+    "cut AS (SELECT w, unnest(range(1, least(len(w), 40) + 1)) AS n FROM item), "
+    "olex AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS gram, w[1] AS head, n FROM cut), "
+    "spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM mdoc), "
+    "begun AS (SELECT * FROM spot WHERE w[i] IN (SELECT head FROM olex)), "
+    "sized AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM begun, (SELECT DISTINCT n FROM olex) "
+    "WHERE i + n - 1 <= len(w)), "
+    "omen AS (SELECT doc_id, i - 1 AS pos, n, gram FROM sized JOIN olex USING (gram, n))"
+)
+OPENED = "doc_id, CAST(pos AS BIGINT) AS pos, gram, substr(gram, 1, 20) AS entity, CAST(n AS VARCHAR) AS cui"
+SQL["scan_concepts"] = f"WITH {OPENINGS} SELECT {OPENED} FROM omen"
+SQL["scan_concepts_longest"] = (
+    f"WITH RECURSIVE {OPENINGS}, top AS (SELECT doc_id, pos, max(n) AS n, max_by(gram, n) AS gram FROM omen GROUP BY doc_id, pos), "
+    "follow AS (SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN n FOLLOWING AND UNBOUNDED FOLLOWING) "
+    "AS next FROM top), "
+    "taken AS (SELECT doc_id, min(pos) AS pos FROM top GROUP BY doc_id UNION ALL "
+    "SELECT t.doc_id, f.next FROM taken t JOIN follow f ON f.doc_id = t.doc_id AND f.pos = t.pos WHERE f.next IS NOT NULL) "
+    f"SELECT {OPENED} FROM top SEMI JOIN taken USING (doc_id, pos)"
+)
 SETS = "list_distinct([substr({c}, i, 3) for i in range(1, greatest(length({c}) - 2, 1) + 1)])"
 SQL["annotate_similar"] = (
     f"WITH {LEX}, {GRAMS}, surf AS (SELECT gram, {SETS.format(c='gram')} AS s FROM (SELECT DISTINCT gram FROM grams)), "

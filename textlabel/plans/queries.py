@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, densities, describe, draws, features, joins, metrics, neighbours, pairs, ranking, recode, replicates, resample, terms, tokens
+from textlabel.operators import concepts, densities, describe, draws, features, inverted, joins, metrics, neighbours, pairs, ranking, recode, replicates, resample, terms, tokens
 from textlabel.plans import boosting, models, network, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -670,6 +670,30 @@ def annotate_similar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.select("doc_id", "pos", "gram", "entity", "cui", "semantic_type", "score"))
 
 
+LONGEST_ALIAS = 40
+
+
+def opening_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 1 to 40 words of each benchmark text as aliases: 40 different lengths, each beginning like the next."""
+    words = tokenize("text", lower=True, strip_punct=False)
+    items = table(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    upto = F.explode(F.expr(f"filter(sequence(1, {LONGEST_ALIAS}), n -> n <= size(w))"))
+    aliases = items.select("w", upto.alias("n")).select(F.array_join(F.slice("w", 1, F.col("n")), " ").alias("alias"), "n").distinct()
+    return aliases.select("alias", F.substring("alias", 1, 20).alias("entity"), F.col("n").cast("string").alias("cui"), F.lit("Opening").alias("semantic_type"))
+
+
+@query
+def scan_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    found = concepts.scan(texts(spark, sf), opening_lexicon(spark, sf), "doc_id")
+    return found.select("doc_id", "pos", "gram", "entity", "cui")
+
+
+@query
+def scan_concepts_longest(spark: SparkSession, sf: str) -> DataFrame:
+    found = concepts.scan(texts(spark, sf), opening_lexicon(spark, sf), "doc_id", overlaps="longest")
+    return found.select("doc_id", "pos", "gram", "entity", "cui")
+
+
 @query
 def collapse_concepts(spark: SparkSession, sf: str) -> DataFrame:
     found = concepts.annotate(texts(spark, sf), lexicon(spark), "doc_id")
@@ -748,6 +772,14 @@ def knn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(near(spark, sf, 5))
 
 
+@query
+def inverted_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest other rows of every row by inverted lists; the number of lists read is set by measured recall."""
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    index = inverted.InvertedLists.fit(emb, k=5)
+    return rounded(index.search(emb, emb, 5, exclude_self=True))
+
+
 @query
 def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(neighbours.knn_vote(near(spark, sf, 6), 5, "triangular"))
