@@ -536,24 +536,30 @@ SQL["scan_concepts_longest"] = (
     f"SELECT {OPENED} FROM top SEMI JOIN taken USING (doc_id, pos)"
 )
 SETS = "list_distinct([substr({c}, i, 3) for i in range(1, greatest(length({c}) - 2, 1) + 1)])"
-SQL["annotate_similar"] = (
-    f"WITH {LEX}, {GRAMS}, surf AS (SELECT gram, {SETS.format(c='gram')} AS s FROM (SELECT DISTINCT gram FROM grams)), "
+SIMILAR = (
+    f"{LEX}, {GRAMS}, surf AS (SELECT gram, {SETS.format(c='gram')} AS s FROM (SELECT DISTINCT gram FROM grams)), "
     f"ali AS (SELECT gram AS alias, {SETS.format(c='gram')} AS a FROM (SELECT DISTINCT gram FROM lex)), "
     "pair AS (SELECT gram, alias, len(list_intersect(s, a)) AS k, len(s) AS ls, len(a) AS la FROM surf CROSS JOIN ali), "
-    "sim AS (SELECT gram, alias, CAST(k AS DOUBLE) / (ls + la - k) AS score FROM pair) "
-    "SELECT doc_id, CAST(pos AS BIGINT) AS pos, g.gram, entity, cui, semantic_type, round(score, 6) AS score "
-    "FROM grams g JOIN sim ON g.gram = sim.gram AND score >= 0.7 JOIN lex ON lex.gram = alias"
+    "sim AS (SELECT gram, alias, CAST(k AS DOUBLE) / (ls + la - k) AS score FROM pair), "
+    "men AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, g.gram, entity, cui, semantic_type, round(score, 6) AS score "
+    "FROM grams g JOIN sim ON g.gram = sim.gram AND score >= 0.7 JOIN lex ON lex.gram = alias)"
 )
+SQL["annotate_similar"] = f"WITH {SIMILAR} SELECT doc_id, pos, gram, entity, cui, semantic_type, score FROM men"
 SQL["collapse_concepts"] = f"WITH {COLLAPSED.format(mentions=MENTIONS)} SELECT doc_id, cui FROM cs"
 SQL["attach_concepts"] = (
     f"WITH {COLLAPSED.format(mentions=MENTIONS)} SELECT doc_id, lang, cui FROM documents LEFT JOIN cs USING (doc_id)"
 )
 SPACED = r"spaced AS (SELECT doc_id, regexp_replace(text, '\s+', ', ', 'g') AS text FROM documents)"
-SPACED_MENTIONS = f"{SPACED}, " + MENTIONS.replace("FROM documents", "FROM spaced")
+SPACED_MENTIONS = f"{SPACED}, " + SIMILAR.replace("FROM documents", "FROM spaced")
 SQL["prepare_texts"] = (
     f"WITH {COLLAPSED.format(mentions=SPACED_MENTIONS)} SELECT doc_id, md5(text) AS text_md5, cui FROM spaced "
     "LEFT JOIN cs USING (doc_id)"
 )
+# What is known of predictions without the fitted models: whose they are, on which concepts, and that they are classes and shares.
+SQL["predict_concepts_sums"] = (
+    f"WITH {COLLAPSED.format(mentions=SPACED_MENTIONS)} SELECT doc_id, cui, true AS quality_valid, true AS toxic_valid FROM spaced "
+    "LEFT JOIN cs USING (doc_id)"
+)
 
 # --- models with a closed form
 SQL["nb_moments"] = (

@@ -709,7 +709,7 @@ def attach_concepts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prepare_texts(spark: SparkSession, sf: str) -> DataFrame:
-    ready = score.prepare(texts(spark, sf), lexicon(spark), "doc_id", threshold=1.0, entities=["free"])
+    ready = score.prepare(texts(spark, sf), lexicon(spark), "doc_id", threshold=0.70, entities=["free"])
     return ready.select("doc_id", F.md5("text").alias("text_md5"), "cui")
 
 
@@ -912,12 +912,44 @@ def predict_small(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def predict_complete(spark: SparkSession, sf: str) -> DataFrame:
     docs = texts(spark, sf)
-    ready = score.prepare(docs, lexicon(spark), "doc_id", threshold=1.0, entities=["free"])
+    ready = score.prepare(docs, lexicon(spark), "doc_id", threshold=0.70, entities=["free"])
     path = new_table_path(spark, "models")
     models.save_models(fitted_labellers(spark, sf), path)
     return score.predict_complete(ready, models.load_models(path), ["doc_id", "cui"])
 
 
+def concept_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Concepts at threshold 0.70 as the only text of two models, saved in two folders, merged and applied to every document."""
+    ready = settle(score.prepare(texts(spark, sf), lexicon(spark), "doc_id", threshold=0.70, entities=["free"]), "prepared")
+    known = ready.select("doc_id", "cui").join(table(spark, sf, "labels"), "doc_id").withColumnRenamed("doc_id", "id")
+    # Ids of concepts are no words of a language, and a rare one counts like any other.
+    recipe = features.TfidfRecipe(text="cui", min_times=1, stop=[]).fit(known)
+    narrow = settle(recipe.transform(known).select("id", "features", *TRUTHS), "features", even=True)
+    paths = []
+    for truth, name in zip(TRUTHS, ("logistic", "naive_bayes")):
+        train = narrow.select("id", "features", F.col(truth).alias("truth")).filter("truth is not null")
+        paths.append(new_table_path(spark, f"models-{truth}"))
+        models.save_models({truth: models.Labeller(recipe, models.fit_model(name, {}, train))}, paths[-1])
+    return score.predict_complete(ready, models.load_models(paths), ["doc_id", "cui"])
+
+
+@query
+def predict_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    return concept_predictions(spark, sf)
+
+
+@query
+def predict_concepts_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each prediction is a class with two shares that sum to one, the larger of them its own."""
+    pred = concept_predictions(spark, sf)
+
+    def valid(o: str) -> Column:
+        p0, p1 = F.col(f"{o}_pred_0"), F.col(f"{o}_pred_1")
+        return F.col(o).isin(0, 1) & (F.abs(p0 + p1 - 1) < 1e-9) & p0.between(0, 1) & ((F.col(o) == 1) == (p1 > 0.5))
+
+    return pred.select("doc_id", "cui", *[F.coalesce(valid(o), F.lit(False)).alias(f"{o}_valid") for o in TRUTHS])
+
+
 # --- sources, sinks and streams -----------------------------------------------------------------
 
 
