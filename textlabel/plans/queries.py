@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SUBSTANCES
 from textlabel.functions.numeric import round_numeric
 from textlabel.functions.text import has_any, n_chars, n_words, remove_all, space_out, tokenize
-from textlabel.operators import concepts, densities, describe, draws, features, inverted, joins, metrics, neighbours, pairs, ranking, recode, replicates, resample, terms, tokens
+from textlabel.operators import concepts, densities, describe, draws, features, inverted, joins, metrics, neighbours, pairs, ranking, recode, replicates, resample, segment, terms, tokens
 from textlabel.plans import boosting, models, network, path, report, score, tune
 from textlabel.session import new_table_path, settle
 from textlabel.sources import tables
@@ -671,6 +671,7 @@ def annotate_similar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LONGEST_ALIAS = 40
+LETTERS = r"[\p{L}\p{M}]+"
 
 
 def opening_lexicon(spark: SparkSession, sf: str) -> DataFrame:
@@ -682,6 +683,23 @@ def opening_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return aliases.select("alias", F.substring("alias", 1, 20).alias("entity"), F.col("n").cast("string").alias("cui"), F.lit("Opening").alias("semantic_type"))
 
 
+@query
+def segment_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations without their blanks, cut into words by a lexicon learned from them, beside the words they had."""
+    turns = texts(spark, sf, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("w"))
+    glued = settle(turns.select(F.struct("conv_id", "turn").alias("id"), "w", F.array_join("w", "").alias("run")), "glued")
+    lexicon_ = segment.Lexicon.learn(glued.groupBy("run").agg(F.count(F.lit(1)).alias("n")), max_len=12)
+    ends = lambda w: F.aggregate(
+        F.transform(w, F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    )
+    both = lexicon_.cut_runs(glued).withColumns({"had": ends("w"), "got": ends("words")})
+    common = F.size(F.array_intersect("had", "got")) - 1
+    return both.select(
+        "id.conv_id", "id.turn", F.size("w").cast("long").alias("n_words"), F.size("words").cast("long").alias("n_found"),
+        common.cast("long").alias("n_common_ends"), (F.array_join("words", "") == F.col("run")).alias("whole"),
+    )
+
+
 @query
 def scan_concepts(spark: SparkSession, sf: str) -> DataFrame:
     found = concepts.scan(texts(spark, sf), opening_lexicon(spark, sf), "doc_id")
