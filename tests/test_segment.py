@@ -48,3 +48,28 @@ def test_empty_corpus(spark):
     empty = spark.createDataFrame([], "id long, text string")
     lexicon = segment.Lexicon.learn(segment.letter_runs(empty))
     assert lexicon.costs == {} and lexicon.cut("ab") == ["a", "b"] and lexicon.segment(empty).count() == 0
+
+
+def test_batches_cut_like_single_runs():
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))): rng.randrange(1, 50) for _ in range(120)}
+    lexicon = segment.Lexicon(words)
+    runs = ["".join(rng.choice("abcdex𠀀") for _ in range(rng.randrange(0, 60))) for _ in range(400)] + [None, "", "ab" * 150, "a" * 200, "ab" * 150]
+    assert lexicon.cut_all(runs) == [lexicon.cut(run) for run in runs]
+    assert segment.Lexicon({}).cut_all(["ab", None] * 30) == [["a", "b"], []] * 30
+
+
+@pytest.mark.parametrize("max_words", [40, 10_000])
+def test_candidates_are_those_of_a_full_count(spark, monkeypatch, max_words):
+    rng = random.Random(5)
+    parts = ["ab", "cde", "fab", "c", "dd", "𠀀b"]
+    runs = [("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))), rng.randrange(1, 4)) for _ in range(150)] + [("", 5), (None, 2)]
+    monkeypatch.setattr(segment, "HELD", 50)
+    counts = {}
+    for run, n in runs:
+        for i, j in itertools.combinations(range(len(run or "") + 1), 2):
+            if j - i <= 9:
+                counts[run[i:j]] = counts.get(run[i:j], 0) + n
+    kept = sorted(((w, n) for w, n in counts.items() if n >= 5 or len(w) == 1), key=lambda x: (-x[1] * len(x[0]), x[0].encode()))[:max_words]
+    lexicon = segment.Lexicon.learn(spark.createDataFrame(runs, "run string, n long"), max_len=9, max_words=max_words, rounds=0)
+    assert lexicon.costs == pytest.approx(segment.Lexicon(dict(kept)).costs)
