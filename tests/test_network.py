@@ -1,6 +1,7 @@
 """Networks in the joint solver: gradients by differences, weights as copies, penalties, folds left out, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,19 @@ def test_odd_rows(spark):
     assert out[2] is None and all(0 < out[i] < 1 for i in (1, 3, 4))
     with pytest.raises(ValueError):
         network.fit_networks(odd.limit(0), ["y"], [{}])
+
+
+def test_shares_of_a_scan_equal_one_run_at_a_time():
+    rng = np.random.default_rng(4)
+    x, y, fold = rng.normal(size=(300, 5)), (rng.random((300, 2)) < 0.4).astype(float), rng.integers(0, 3, 300)
+    y[::9, 1] = np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(fold), pa.array(y.tolist()), pa.array(np.full(300, 2.0)), pa.array(x.tolist())], names=["f", "y", "w", "x"])
+    runs = [network.Run(o, k, k + 1, 0.1, 5, f) for o in (0, 1) for k in (3, 0, 2) for f in (-1, 0, 2)]
+    theta = np.stack([np.where(network._used(6, 4, r.units), rng.normal(size=6 * 4 + 5), 0.0) for r in runs])
+    assert all(len(s[0]) * s[1] <= network.COLUMNS for s in network._shares(runs * 99, 6, 4))  # whatever the number of runs
+    (sums,) = network._scan(theta, runs, 4)(network._pack(iter([batch])))
+    got = dict(zip(sums.column(0).to_pylist(), sums.column(1).to_pylist()))
+    for i, r in enumerate(runs):
+        known = ~np.isnan(y[:, r.outcome]) & (fold != r.fold)
+        loss, grad = network.loss_and_gradient(theta[[i]], np.hstack([np.ones((300, 1)), x]), np.nan_to_num(y[:, [r.outcome]]), 2.0 * known[:, None], 4)
+        assert np.frombuffer(got[i]) == pytest.approx(np.concatenate([loss, grad[0][network._used(6, 4, r.units)]]))
