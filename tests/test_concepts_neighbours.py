@@ -114,3 +114,30 @@ def test_votes_lie_between_zero_and_one(points, kernel):
     votes = neighbours.knn_vote(near, 5, kernel)
     assert votes.count() == df.count()
     assert votes.filter((F.col("p1") < 0) | (F.col("p1") > 1) | F.col("p1").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["plain", "copies", "grid", "far", "few", "odd"])
+def test_closest_equals_all_distances(shape):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(700, 8))
+    if shape == "copies":
+        points[::3] = points[0]
+    elif shape == "grid":
+        points = rng.integers(0, 3, (700, 4)).astype(float)
+    elif shape == "far":
+        points += 1e5
+    elif shape == "few":
+        points = points[:5]
+    elif shape == "odd":
+        points[7, 2] = np.nan
+    best, dist = neighbours.closest(points[:90], points, 6)
+    want, far = neighbours._every_distance(points[:90], points, 6)
+    assert np.array_equal(best, want) and np.array_equal(dist, far, equal_nan=True)
+
+
+def test_closest_works_out_few_distances(monkeypatch):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(4_000, 8))
+    monkeypatch.setattr(neighbours, "_distances", None)  # the way that compares every row with every row
+    best, _ = neighbours.closest(points[:50], points, 3)
+    assert best[:, 0].tolist() == list(range(50))
