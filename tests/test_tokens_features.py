@@ -155,3 +155,11 @@ def test_fold_models_equal_models_fitted_on_the_other_folds(spark):
         assert fitted[f].terms == alone.terms
         want = {r["id"]: r["features"] for r in alone.transform(docs).collect()}
         assert {r["id"]: r[names[f]] for r in wide.collect()} == want
+
+
+def test_ngrams_of_a_text_in_one_row(spark, rows):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b"), (3, None), (1, "b c d e")], "id int, text string")
+    whole = dict(rows(tokens.ngrams(docs.filter("id <> 1"), n=3, keep_null=False, rows=False)))
+    assert whole == {2: [], 3: []}
+    apart = tokens.ngrams(docs, n=3, keep_null=False, rows=False).selectExpr("id", "explode(bigram) as bigram")
+    assert sorted(rows(apart)) == sorted(rows(tokens.ngrams(docs, n=3, keep_null=False)))

@@ -29,11 +29,14 @@ def ngrams(
     lower: bool = True,
     keep_null: bool = True,
     out: str = "bigram",
+    rows: bool = True,
 ) -> DataFrame:
     """(id, n-gram): one row per run of n adjacent words; a text with fewer words gives one NULL row
-    unless `keep_null` is off. Works inside the row, so there is no shuffle and no lag window."""
+    unless `keep_null` is off. Works inside the row, so there is no shuffle and no lag window.
+    With `rows` off each text stays one row with the array of its n-grams, for what sums them up by text."""
     words = df.select(id_col, tokenize(text, lower).alias("_w"))
-    return words.select(id_col, F.explode(ngram_array("_w", n, keep_null=keep_null)).alias(out))
+    grams = ngram_array("_w", n, keep_null=keep_null)
+    return words.select(id_col, (F.explode(grams) if rows else grams).alias(out))
 
 
 def remove_stopwords(df: DataFrame, stop: Stop = SNOWBALL_ENGLISH, word: str = "word") -> DataFrame:
