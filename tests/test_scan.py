@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,20 @@ def test_empty_sides(spark, tables):
     assert scan.scan_aliases(left, right.filter("false")).count() == 0
     with pytest.raises(ValueError):
         scan.scan_aliases(left, right, "some")
+
+
+def test_a_batch_is_scanned_in_pieces_of_bounded_size():
+    lists = [["a"] * n for n in (3, 0, 4, 50, 1, 1)] + [None] + [["b"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], names=["id", "words"])
+    got = list(scan.pieces(batch, 8))
+    assert [p.column(0).to_pylist() for p in got] == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert list(scan.pieces(batch.slice(0, 0), 8)) == []
+    trie, names = scan.Trie([["a", "a"], ["b"]]), pa.array(["aa", "b"])
+    (whole,) = scan._scan(trie, names, True)(iter([batch]))
+    scan_words, scan.pieces.__defaults__ = scan.pieces.__defaults__, (8,)
+    try:
+        parts = list(scan._scan(trie, names, True)(iter([batch])))
+    finally:
+        scan.pieces.__defaults__ = scan_words
+    spots = lambda b: sorted(map(str, b.to_pylist()))
+    assert len(parts) == 4 and spots(pa.Table.from_batches(parts)) == spots(whole)
