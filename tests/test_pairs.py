@@ -1,6 +1,7 @@
 """Pair counts against the product of the matrix with itself, with and without dense blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textlabel.operators import pairs
@@ -34,3 +35,14 @@ def test_odd_rows(spark, rows):
         assert sorted(rows(pairs.pair_counts(df, "items", frequent))) == expected
     assert rows(pairs.pair_counts(df, "items", min_n=2)) == [(5, 5, 3)]
     assert pairs.pair_counts(df.limit(0), "items").count() == 0
+
+
+def test_short_rows_are_held_as_few_arrays(monkeypatch):
+    seen = []
+    counted = pairs._counted
+    monkeypatch.setattr(pairs, "_counted", lambda held: seen.append(len(held)) or counted(held))
+    table = pa.RecordBatch.from_arrays([pa.array([[i, i + 1, i + 2] for i in range(20_000)], pa.list_(pa.int32()))], names=["i"])
+    out = list(pairs.counter([])(iter([table])))
+    total = pa.Table.from_batches(out).to_pandas().groupby(["a", "b"])["n"].sum()
+    assert total.sum() == 120_000 and total[(5, 7)] == 1 and total[(5, 6)] == 2 and total[(5, 5)] == 3
+    assert max(seen) <= 20_000 // pairs.ARRAYS_HELD + 1
