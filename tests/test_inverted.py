@@ -61,3 +61,16 @@ def test_nothing_to_search(table, index):
     assert index.search(table.filter("false"), table, 3).count() == 0
     with pytest.raises(ValueError):
         inverted.InvertedLists.fit(table.filter(F.lit(False)))
+
+
+def test_a_query_is_copied_by_shelf_and_not_by_list(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "id long, vec array<double>").repartition(3)
+    index = inverted.InvertedLists.fit(df, k=3, lists=20)
+    stored = {}
+    settle = inverted.settle
+    monkeypatch.setattr(inverted, "settle", lambda d, label: stored.setdefault(label, settle(d, label)))
+    got = {r["query_id"]: r["train_id"] for r in index.search(df, df, 1, probes=20).collect()}
+    assert got == {i: i for i in range(300)} and stored["routed-queries"].count() == 300
+    some = {r["query_id"]: r["train_id"] for r in index.search(df, df, 1, probes=20, block_rows=5).collect()}
+    assert some == got

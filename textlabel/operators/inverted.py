@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlabel.functions.hashing import hash_key
-from textlabel.operators.neighbours import BLOCK_ROWS, PLACES, knn
+from textlabel.operators.neighbours import BLOCK_ROWS, PLACES, knn, shelf_copies, shelve
 from textlabel.session import settle
 
 MAX_LISTS = 4_096
@@ -30,6 +30,8 @@ SAMPLE_ROWS = 65_536
 RECALL_QUERIES = 200
 # Candidates that are compared by their own vectors, for each neighbour asked for.
 REFINE = 8
+# A distance that is no number comes after all others, and before rows that are not read.
+LAST = np.finfo(float).max
 
 
 def _rows(vectors: pd.Series) -> np.ndarray:
@@ -138,9 +140,9 @@ class InvertedLists:
     ) -> DataFrame:
         """(query_id, rank, train_id, dist): k near rows of each query, exact distances, ties by id.
 
-        All rows are filed; a long list is cut into blocks, and the queries of a busy block are spread over copies of it, so a group never
-        grows with the table. Each block keeps the REFINE * k rows that its codes show nearest; the best of all blocks of a query are compared by
-        their vectors. With `probes` as many as there are lists every row is compared by its code. `exclude_self` leaves out the row with the
+        All rows are filed; a long list is cut into blocks, some blocks make up a shelf, and the queries of a busy shelf are spread over
+        copies of it, so a group never grows with the table. A query goes to a shelf once, with its lists there. Each shelf keeps the
+        REFINE * k rows that its codes show nearest; the best of all shelves of a query are compared by their vectors. With `probes` as many as there are lists every row is compared by its code. `exclude_self` leaves out the row with the
         query's own id. Rows with a NULL id or vector neither ask nor are found; ids should be unique.
         """
         k_wide = k + 1 if exclude_self else k
@@ -149,38 +151,71 @@ class InvertedLists:
             d.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec")).dropna() for d in (queries, train)
         )
         filed = settle(self.file(t), "inverted-lists")
-        routed = q.select(F.col("id").alias("query_id"), "vec", F.explode(self._nearest(F.col("vec"), probes or self.probes)).alias("list"))
-        routed = settle(routed, "routed-queries")
-        held, load = ({r["list"]: r["n"] for r in d.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()} for d in (filed, routed))
-        plan = [(int(c), -(-n // block_rows), max(1, -(-load.get(c, 0) // block_rows))) for c, n in held.items()]
-        layout = F.broadcast(queries.sparkSession.createDataFrame(plan, "list int, blocks int, copies int"))
-        pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = routed.join(layout, "list").withColumn("copy", pick("query_id", "copies")).withColumn("block", every("blocks"))
-        right = filed.join(layout, "list").withColumn("block", pick("train_id", "blocks")).withColumn("copy", every("copies"))
-        keys = ["list", "block", "copy"]
+        held = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shelves = shelve([held.get(c, 0) for c in range(len(self.centroids))], block_rows)
+        member = np.zeros((shelves[-1][-1] + 1, len(self.centroids)), dtype=bool)
+        for list_, _, _, shelf in shelves:
+            member[shelf, list_] = list_ in held
+
+        @F.pandas_udf("array<int>")
+        def shelves_of(lists: pd.Series) -> pd.Series:
+            if not len(lists):
+                return pd.Series([], dtype=object)
+            wanted = np.stack(lists.tolist())
+            met = np.stack([has[wanted].any(axis=1) for has in member], axis=1)
+            return pd.Series([np.flatnonzero(row).astype("int32") for row in met])
+
+        routed = q.select(F.col("id").alias("query_id"), "vec", self._nearest(F.col("vec"), probes or self.probes).alias("lists"))
+        routed = settle(settle(routed, "query-lists").withColumn("shelves", shelves_of("lists")), "routed-queries")
+        asked = routed.select("query_id", "vec", "lists", F.explode("shelves").alias("shelf"))
+        load = {r["shelf"]: r["n"] for r in asked.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        spark = queries.sparkSession
+        copies = shelf_copies(load, len(member), block_rows, spark.sparkContext.defaultParallelism)
+        layout = F.broadcast(spark.createDataFrame([(*row, copies[row[-1]]) for row in shelves], "list int, block int, blocks int, shelf int, copies int"))
+        ends = [(s, int(has.nonzero()[0].min(initial=len(self.centroids))), int(has.nonzero()[0].max(initial=-1)), copies[s]) for s, has in enumerate(member)]
+        spread = F.broadcast(spark.createDataFrame(ends, "shelf int, first int, last int, copies int"))
+        here = F.filter("lists", lambda c: c.between(F.col("first"), F.col("last")))
+        left = asked.join(spread, "shelf").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")).withColumn("lists", here)
+        mine = (layout["list"] == filed["list"]) & (layout["block"] == F.pmod(F.xxhash64("train_id"), layout["blocks"]))
+        right = filed.join(layout, mine).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("shelf", "copy", filed["list"], "train_id", "code")
+        keys = ["shelf", "copy"]
         centroids, low, step = self.centroids, self.low, self.step
 
         def compare(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if asked.empty or rows.empty:
                 return pd.DataFrame({"query_id": [], "train_id": [], "near": []})
-            rows = rows.sort_values("train_id", kind="stable")  # so that equal codes go by id
-            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            points = centroids[rows["list"].iloc[0]] + low + codes * step
-            ids, out = rows["train_id"].to_numpy(), []
+            rows = rows.sort_values(["list", "train_id"], kind="stable")
+            ids, at = rows["train_id"].to_numpy(), rows["list"].to_numpy()
+            place = np.empty(len(ids), dtype=np.int64)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))  # so that equal codes go by id
+            points = centroids[at] + low + np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1) * step
+            lists, starts = np.unique(at, return_index=True)
+            stops, out = np.append(starts[1:], len(at)), []
             some = max(1, 4_000_000 // len(rows))
             for i in range(0, len(asked), some):
                 part = asked[i : i + some]
-                d = np.round(_squares(_rows(part["vec"]), points), PLACES)
-                best = np.argsort(d, axis=1, kind="stable")[:, :wide]
-                at = np.repeat(part["query_id"].to_numpy(), best.shape[1])
-                out.append(pd.DataFrame({"query_id": at, "train_id": ids[best].ravel(), "near": np.take_along_axis(d, best, 1).ravel()}))
+                vectors, d = _rows(part["vec"]), np.full((len(part), len(rows)), np.inf)
+                odd = not (np.isfinite(vectors).all() and np.isfinite(points).all())
+                owner = np.repeat(np.arange(len(part)), part["lists"].map(len))
+                reads = np.concatenate(part["lists"].tolist())
+                for c, start, stop in zip(lists, starts, stops):
+                    asks = owner[reads == c]
+                    if len(asks):
+                        squares = np.round(_squares(vectors[asks], points[start:stop]), PLACES)
+                        d[asks, start:stop] = np.nan_to_num(squares, nan=LAST, posinf=LAST) if odd else squares
+                bound = np.partition(d, wide - 1, axis=1)[:, wide - 1] if wide < d.shape[1] else np.full(len(d), np.inf)
+                row, col = np.nonzero((d <= bound[:, None]) & (d < np.inf))
+                near = d[row, col]
+                order = np.lexsort([place[col], near, row])
+                row, col, near = row[order], col[order], near[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < wide
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row[first]], "train_id": ids[col[first]], "near": near[first]}))
             return pd.concat(out)
 
         kind = t.schema["id"].dataType.simpleString()
         found = (
-            left.select(*keys, "query_id", "vec").groupBy(*keys)
-            .cogroup(right.select(*keys, "train_id", "code").groupBy(*keys))
+            left.select(*keys, "query_id", "vec", "lists").groupBy(*keys)
+            .cogroup(right.groupBy(*keys))
             .applyInPandas(compare, f"query_id {q.schema['id'].dataType.simpleString()}, train_id {kind}, near double")
         )
         if exclude_self:
