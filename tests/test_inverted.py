@@ -72,5 +72,6 @@ def test_a_query_is_copied_by_shelf_and_not_by_list(spark, monkeypatch):
     monkeypatch.setattr(inverted, "settle", lambda d, label: stored.setdefault(label, settle(d, label)))
     got = {r["query_id"]: r["train_id"] for r in index.search(df, df, 1, probes=20).collect()}
     assert got == {i: i for i in range(300)} and stored["routed-queries"].count() == 300
+    monkeypatch.setattr(inverted, "settle", settle)
     some = {r["query_id"]: r["train_id"] for r in index.search(df, df, 1, probes=20, block_rows=5).collect()}
     assert some == got
