@@ -141,3 +141,28 @@ def test_closest_works_out_few_distances(monkeypatch):
     monkeypatch.setattr(neighbours, "_distances", None)  # the way that compares every row with every row
     best, _ = neighbours.closest(points[:50], points, 3)
     assert best[:, 0].tolist() == list(range(50))
+
+
+def test_only_possible_grams_leave_the_task_and_none_is_lost(spark, lexicon, rows):
+    rng = np.random.default_rng(5)
+    words = ["fentanyl", "fentanyll", "citrate", "citrat", "heroine", "hero", "opioids", "acute", "toxicity", "4", "-", "ab", "é"]
+    texts = [(i, " ".join(rng.choice(words, size=n))) for i, n in enumerate([0, 1, 3, 40, 900])] + [(None, "heroin"), (7, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    lex = concepts.normalise(lexicon)
+    for threshold in (0.3, 0.7):
+        grams = concepts.surface_grams(df, "id", "text", [1, 2, 3, 4])
+        possible = concepts.possible_grams(df, "id", "text", [1, 2, 3, 4], concepts.Sieve.of(lex, threshold))
+        every = set(rows(grams, "id", "pos", "n_words", "gram"))
+        few = set(rows(possible, "id", "pos", "n_words", "gram"))
+        assert few < every and len(few) == possible.count()
+        assert {(r[0], r[1], r[3]) for r in few} >= {tuple(r) for r in grams.join(concepts.similar_grams(grams, lex, threshold), "gram").select("id", "pos", "gram").collect()}
+        pairs = concepts.similar_grams(grams, lex, threshold)
+        want = rows(grams.join(pairs.join(lex.withColumnRenamed("gram", "alias").drop("n_words"), "alias"), "gram"), "id", "pos", "gram", "cui", "score")
+        assert rows(concepts.annotate(df, lexicon, threshold=threshold), "id", "pos", "gram", "cui", "score") == want and want
+
+
+def test_a_large_lexicon_is_compared_with_all_grams(notes, lexicon, rows, monkeypatch):
+    want = rows(concepts.annotate(notes, lexicon, threshold=0.7))
+    monkeypatch.setattr(concepts, "MOST_PROBES", 2)
+    assert concepts.Sieve.of(concepts.normalise(lexicon), 0.7) is None
+    assert rows(concepts.annotate(notes, lexicon, threshold=0.7)) == want
