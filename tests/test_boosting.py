@@ -1,6 +1,7 @@
 """Boosted trees against a plain version that tries every cut, weights as copies, and the ways of adding histograms."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,30 @@ def test_bins_hold_equal_shares(spark):
     df = spark.createDataFrame([([float(i % 100), 1.0],) for i in range(1000)], "_x array<double>")
     cuts = boosting.feature_cuts(df, 2, 10)
     assert cuts[0].tolist() == [9.0, 19.0, 29.0, 39.0, 49.0, 59.0, 69.0, 79.0, 89.0] and cuts[1].tolist() == []
+
+
+def test_only_cells_outside_the_common_bin_are_counted(monkeypatch):
+    rng = np.random.default_rng(8)
+    n, width, bins, runs = 500, 6, 8, [boosting.Run(0, 0, f, 1, 2, 0.3, 1.0, 0.0, 0.0, 1.0) for f in (-1, 0)]
+    codes = np.where(rng.random((n, width)) < 0.9, 3, rng.integers(0, bins, (n, width))).astype(np.uint8)
+    y, fold, weight = rng.integers(0, 2, n).astype(float), rng.integers(0, 2, n), rng.integers(0, 3, n).astype(float)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(fold), pa.array([[v] for v in y]), pa.array(weight), pa.array([c.tobytes() for c in codes]), pa.array([b""] * n, pa.binary())],
+        names=["_f", "_y", "_w", "_c", "_m"],
+    )
+    now = boosting.Trees(np.array([[[1, -1, -1], [0, -1, -1]]]), np.array([[[3, 0, 0], [2, 0, 0]]]), np.zeros((1, 2, 3)))
+    none = boosting.Trees(np.zeros((0, 2, 3), int), np.zeros((0, 2, 3), int), np.zeros((0, 2, 3)))
+    lengths, count = [], np.bincount
+    monkeypatch.setattr(boosting.np, "bincount", lambda x, *a, **k: lengths.append(len(x)) or count(x, *a, **k))
+    (out,) = boosting._histograms(runs, [0, 1], [(0, 1), (0, 2), (1, 2)], none, now, width, bins, 2)(iter([batch]))
+    monkeypatch.undo()
+    # Of all cells only those outside the common bin are summed up; the first call counts the bins themselves.
+    assert max(lengths[1:]) < n * width / 3
+    for run, node, data in zip(*(out.column(i).to_pylist() for i in range(3))):
+        f, cut = (1, 3) if run == 0 else (0, 2)
+        rows = (codes[:, f] > cut if node == 2 else codes[:, f] <= cut) & (fold != (-1, 0)[run])
+        want = np.zeros((2, width, bins))
+        for i, v in enumerate((np.rint(weight * (0.5 - y) * boosting.UNIT), np.rint(weight * 0.25 * boosting.UNIT))):
+            for j in range(width):
+                np.add.at(want[i, j], codes[rows, j], v[rows])
+        assert (np.frombuffer(data, np.int64).reshape(want.shape) == want).all()
