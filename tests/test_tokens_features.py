@@ -47,6 +47,22 @@ def test_short_texts_give_a_null_bigram(docs):
     ]
 
 
+def test_bigrams_are_counted_in_bounded_pieces(spark, monkeypatch):
+    texts = [None, "", "one"] + ["a a a b"] * 30 + [f"x{i} y{i} z" for i in range(50)]
+    want = Counter(pair for t in texts for pair in (list(map(" ".join, zip((t or "").split(), (t or "").split()[1:]))) or [None]))
+    monkeypatch.setattr(tokens, "BIGRAMS_AT_ONCE", 7)
+    monkeypatch.setattr(tokens, "TEXT_PER_TASK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        counts = tokens.bigram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+        assert {r["bigram"]: r["n"] for r in counts.collect()} == want and counts.count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # The tasks that sum up follow the size of the texts, not a fixed number.
+    assert counts.rdd.getNumPartitions() == -(-sum(len(t or "") for t in texts) // 50) > 8
+    assert tokens.bigram_counts(spark.createDataFrame([], "text string")).count() == 0
+
+
 def test_bigram_pairs_and_graph(docs, rows):
     pairs = tokens.bigram_pairs(docs, stop=["the"])
     got = {(r["word1"], r["word2"]): r["n"] for r in pairs.collect()}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from textlabel.operators.recode import not_in
 
 Stop = Sequence[str] | DataFrame
 
+# Bigrams whose occurrences a task combines before they are shuffled, and the text whose bigrams one task sums up.
+BIGRAMS_AT_ONCE = 1 << 20
+TEXT_PER_TASK = 16 * 1024 * 1024
+
 
 def tokens(df: DataFrame, id_col: str = "id", text: str = "text", lower: bool = True) -> DataFrame:
     """(id, pos, word): one row per word, `pos` from 0. No shuffle."""
@@ -67,11 +72,38 @@ def top_words(counts: DataFrame, k: int = 15) -> DataFrame:
     return counts.orderBy(F.desc("n"), "word").limit(k)
 
 
+def _combined(at_once: int):
+    """(bigram, n) of each `at_once` rows of a task."""
+
+    def counted(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        counts = pa.Table.from_batches(held).group_by("bigram", use_threads=False).aggregate([([], "count_all")])
+        return counts.select(["bigram", "count_all"]).rename_columns(["bigram", "n"]).to_batches(max_chunksize=1 << 16)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= at_once:
+                yield from counted(held)
+                held, rows = [], 0
+        if rows:
+            yield from counted(held)
+
+    return each
+
+
 def bigram_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences per bigram, with the NULL of too short texts counted as a bigram of its own."""
+    """Occurrences per bigram, with the NULL of too short texts counted as a bigram of its own.
+
+    Nearly all bigrams of a task may be different, so a table of them would grow with its share of the texts. They are combined
+    in pieces of bounded size, and summed up by as many tasks as the measured size of all texts asks for."""
+    size = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_PER_TASK))
     words = df.select(tokenize(text).alias("_w"))
     grams = words.select(F.explode(ngram_array("_w", 2, keep_null=True)).alias("bigram"))
-    return grams.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+    pieces = grams.mapInArrow(_combined(BIGRAMS_AT_ONCE), "bigram string, n long").repartition(tasks, "bigram")
+    return pieces.groupBy("bigram").agg(F.sum("n").alias("n"))
 
 
 def separate(df: DataFrame, col: str, into: Sequence[str], sep: str = " ") -> DataFrame:
