@@ -58,3 +58,21 @@ def test_empty_table(spark):
     counts = recipe.counts(spark.createDataFrame([], "id long, text string"))
     fitted = recipe.fit(counts, 0)
     assert fitted.size == 0 and fitted.cells(counts, "id").count() == 0
+
+
+def test_frequent_terms_are_broadcast_and_rare_ones_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(terms, "CELLS_PER_TASK", 60)
+    texts = [(i, f"the often often half{i % 2} rare{i} rare{i // 2}") for i in range(60)] + [(60, None), (61, "the")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    recipe = terms.WideTfidf(min_times=1)
+    counts = recipe.counts(docs)
+    wide = recipe.fit(counts, docs.count())
+    # 64 bytes a term and its letters: once the most frequent term alone, once the three that are in 16 texts or more.
+    assert [wide._least_broadcast(n) for n in (0, 68, 69, 300, 10_000)] == [None, None, 32, 16, 1]
+    want = sorted(map(str, wide.cells(counts, "id").collect()))
+    assert len(want) == 60 and "the" not in "".join(want)
+    for limit in (0, 69, 300):
+        cells = wide.cells(counts, "id", max_bytes=limit)
+        assert sorted(map(str, cells.collect())) == want
+        # No copies of the dictionary; as many tasks as the cells ask for.
+        assert "_copy" not in cells._jdf.queryExecution().toString() and cells.rdd.getNumPartitions() == -(-counts.count() // 60)

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from textlabel.functions.dictionaries import SNOWBALL_ENGLISH
 from textlabel.functions.text import tokenize
 from textlabel.operators.features import fit_vocabulary, idf
-from textlabel.operators.joins import lookup_join
+from textlabel.operators.joins import BROADCAST_BYTES
+from textlabel.operators.recode import not_in
 from textlabel.session import settle
 
 # Buckets of the numbering; their totals are the only rows that meet in one task.
 BUCKETS = 4096
+# Cells that one task puts together by text.
+CELLS_PER_TASK = 2_000_000
 
 
 def term_counts(df: DataFrame, id_col: str, tokens: Column, *keep: str) -> DataFrame:
@@ -49,20 +52,52 @@ def numbered(terms: DataFrame) -> DataFrame:
 
 @dataclass
 class TermDictionary:
-    """A fitted vocabulary: a stored table (token, idx, n, df, idf) of `size` rows, fitted on `n_docs` texts."""
+    """A fitted vocabulary: a stored table (token, idx, n, df, idf) of `size` rows, fitted on `n_docs` texts. `stop` are
+    tokens left out of it that may be in most texts."""
 
     table: DataFrame
     size: int
     n_docs: int
+    stop: Sequence[str] = ()
+
+    def _least_broadcast(self, limit: int) -> int | None:
+        """The smallest power of two for which the terms of that many texts or more take at most `limit` bytes; None without any.
+        The others are then rare: beyond `limit` bytes of terms at most twice as frequent are no hot keys."""
+        power = F.floor(F.log2("df")).cast("int")
+        width = F.octet_length("token").cast("long") + 64
+        bins = sorted(self.table.groupBy(power.alias("p")).agg(F.sum(width).alias("b")).collect(), reverse=True)
+        least, held = None, 0
+        for p, size in bins:
+            held += size
+            if held > limit:
+                return least
+            least = 1 << p
+        return least
 
     def cells(self, counts: DataFrame, id_col: str, max_bytes: int | None = None) -> DataFrame:
         """(id, features): each text's array of (idx, token, tf, tfidf) by idx. `tf` is the token's share of the text's
-        tokens that are in the dictionary. Texts without any have no row."""
-        small = self.table.select("token", "idx", "idf")
-        met = lookup_join(counts.select(id_col, "token", "k"), small, "token", max_bytes=max_bytes, spread=[id_col])
-        rows = met.groupBy(id_col).agg(F.sum("k").alias("_all"), F.array_sort(F.collect_list(F.struct("idx", "token", "k", "idf"))).alias("_f"))
+        tokens that are in the dictionary. Texts without any have no row.
+
+        The most frequent terms are broadcast, as many as fit in `max_bytes` (64 MB by default), so only rare tokens are
+        shuffled to meet the dictionary. Cells are then shuffled once, by text."""
+        small = self.table.select("token", "idx", "df")
+        rows = counts.select(id_col, "token", "k").filter(not_in("token", self.stop)) if self.stop else counts.select(id_col, "token", "k")
+        least = self._least_broadcast(BROADCAST_BYTES if max_bytes is None else max_bytes)
+        often = F.broadcast(small if least is None else small.filter(F.col("df") >= least))
+        seldom = small if least is None else small.filter(F.col("df") < least)
+        if least is None:
+            met = rows.join(seldom, "token")
+        else:
+            met = rows.join(often, "token")
+            if not seldom.isEmpty():
+                rest = rows.join(often.select("token"), "token", "left_anti")
+                met = met.unionByName(rest.join(seldom, "token"))
+        tasks = max(counts.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // CELLS_PER_TASK))
+        dealt = met.select(id_col, "idx", "token", "k", "df").repartition(tasks, id_col)
+        rows = dealt.groupBy(id_col).agg(F.sum("k").alias("_all"), F.array_sort(F.collect_list(F.struct("idx", "token", "k", "df"))).alias("_f"))
         share = lambda c: c["k"].cast("double") / F.col("_all")
-        cell = lambda c: F.struct(c["idx"].alias("idx"), c["token"].alias("token"), share(c).alias("tf"), (share(c) * c["idf"]).alias("tfidf"))
+        weight = lambda c: share(c) * idf(self.n_docs, c["df"])
+        cell = lambda c: F.struct(c["idx"].alias("idx"), c["token"].alias("token"), share(c).alias("tf"), weight(c).alias("tfidf"))
         return rows.select(id_col, F.transform("_f", cell).alias("features"))
 
     def vectors(self, ids: DataFrame, counts: DataFrame, id_col: str, out: str = "features") -> DataFrame:
@@ -117,5 +152,6 @@ class WideTfidf:
         kept = fit_vocabulary(stats, self.min_times, self.max_tokens)
         if self.stop:
             kept = kept.filter(~F.col("token").isin(list(self.stop)))
-        table = settle(numbered(kept).withColumn("idf", idf(n_docs, F.col("df"))), "terms")
-        return TermDictionary(table, table.count(), n_docs)
+        # Stored first: numbering reads its terms twice.
+        table = settle(numbered(settle(kept, "kept-terms")).withColumn("idf", idf(n_docs, F.col("df"))), "terms")
+        return TermDictionary(table, table.count(), n_docs, self.stop)
