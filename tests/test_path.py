@@ -1,6 +1,7 @@
 """The joint lasso path against one-by-one fits, the optimality conditions and Spark's own regression."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -83,3 +84,36 @@ def test_separable_and_empty(spark, rows):
     assert fitted.converged.all() and np.isfinite(fitted.coef).all()
     with pytest.raises(ValueError):
         path.fit_path(rows.limit(0), ["y"], [0.1])
+
+
+def test_scan_equals_the_plain_sums(monkeypatch):
+    """Rows of several folds, partly and wholly unknown outcomes, pieces smaller than the batch, shared and own blocks."""
+    monkeypatch.setattr(path, "ROWS_AT_ONCE", 5)
+    monkeypatch.setattr(path, "GRAM_ROWS", 16)
+    rng = np.random.default_rng(9)
+    n, v = 70, 3
+    x, y, fold = rng.normal(size=(n, 4)), (rng.random((n, 3)) < 0.4).astype(float), np.sort(np.arange(n) % v)
+    y[::4, 1], y[:40, 2] = np.nan, np.nan
+    pairs, ones = [(0, 0), (0, 1), (1, 1), (2, 0)], np.hstack([np.ones((n, 1)), x])
+    coef = rng.normal(size=(4, v + 1, 5)) * 3
+    coef[3, 1] = 400  # far from the middle: no overflow
+    batch = pa.RecordBatch.from_arrays([pa.array(fold), pa.array(y.tolist()), pa.array(x.tolist())], names=["_f", "_y", "_x"])
+    upper = np.triu_indices(5)
+    for own in (None, np.array([[0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1], [0, 0, 1, 0]], bool)):
+        got = {}
+        for out in path._scan(coef, pairs, v, own)(iter([batch, batch.slice(0, 0)])):
+            got.update({(k, b): np.frombuffer(d) for k, b, d in zip(*(c.to_pylist() for c in out.columns))})
+        blocks = 1 + v if own is None else None
+        assert len(got) == (4 * blocks if blocks else 4 + own.sum())
+        for k, (o, _) in enumerate(pairs):
+            eta = ones @ coef[k].T
+            inside = ((fold[:, None] != np.arange(v + 1)) | (np.arange(v + 1) == v)) & ~np.isnan(y[:, [o]])
+            t = np.nan_to_num(y[:, [o]])
+            p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+            loss, grad = ((np.logaddexp(0, eta) - t * eta) * inside).sum(0), ((p - t) * inside).T @ ones
+            assert np.allclose(got[k, -1], np.concatenate([grad.ravel(), loss]), rtol=1e-10, atol=1e-10)
+            weight = p * (1 - p) * inside
+            for b in range(v) if own is None else np.flatnonzero(own[k]):
+                w = weight[:, b] if own is not None else weight.sum(1) / np.maximum(inside.sum(1), 1) * (fold == b)
+                assert np.allclose(got[k, b], ((ones * w[:, None]).T @ ones)[upper], rtol=1e-10, atol=1e-10)
+    assert path._products(ones).shape == (15, n)

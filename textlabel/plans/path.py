@@ -24,6 +24,8 @@ from textlabel.plans.models import penalty_grid
 from textlabel.session import settle
 
 ROWS_AT_ONCE = 256
+# Rows whose Gram blocks are one matrix product, which is added to some ten MB of sums.
+GRAM_ROWS = 1024
 # Pairs whose quadratics are solved together; their curvature takes about 1 MB a pair for 100 features and ten folds.
 PAIRS_AT_ONCE = 32
 # After so many steps the pairs that are left, as a rule small penalties of nearly separable outcomes, get curvature of their own.
@@ -31,56 +33,98 @@ SHARED_STEPS = 14
 PENALTIES = tuple(p["penalty"] for p in penalty_grid())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(folds, truths with NaN where unknown, features with a leading 1) of a few hundred rows at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(folds, truths with NaN where unknown, features with a leading 1) of at most `rows` rows at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(start, ROWS_AT_ONCE)
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
             n = part.num_rows
             x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             y = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
             yield part.column(0).to_numpy(zero_copy_only=False), y, np.hstack([np.ones((n, 1)), x])
 
 
+def _products(x: np.ndarray) -> np.ndarray:
+    """The products of any two columns, a row for each pair of the upper triangle: a weighted Gram block is their product
+    with the weights."""
+    x = np.ascontiguousarray(x.T)
+    out, start = np.empty((len(x) * (len(x) + 1) // 2, x.shape[1])), 0
+    for i in range(len(x)):
+        np.multiply(x[i], x[i:], out=out[start : start + len(x) - i])
+        start += len(x) - i
+    return out
+
+
 def _scan(coef: np.ndarray, pairs: list[tuple[int, int]], v: int, own: np.ndarray | None):
     """A task's share of losses, gradients and Gram blocks at `coef` (pair, run, 1 + p). Run v leaves no fold out.
-    Blocks are by fold and shared by the runs or, with `own` (pair, run), by run for those that it marks."""
+    Blocks are by fold and shared by the runs or, with `own` (pair, run), by run for those that it marks.
+
+    With s = 1 - 2 y and z = s eta, a row costs log(1 + exp(z)) and its residual is s / (1 + exp(-z)): the signs go into the
+    features of one outcome, whose runs then take a few passes over arrays that fit in a core's cache. Pairs are by outcome."""
     runs, width = coef.shape[1:]
-    upper = np.triu_indices(width)
     outcome = np.array([o for o, _ in pairs])
+    chunks = [slice(int(at[0]), int(at[-1]) + 1) for at in (np.flatnonzero(outcome == o) for o in np.unique(outcome))]
+    flats = [np.ascontiguousarray(coef[chunk].reshape(-1, width).T) for chunk in chunks]
+    marked = None if own is None else np.nonzero(own)
+    columns = chunks if own is None else [slice(*np.searchsorted(marked[0], (chunk.start, chunk.stop))) for chunk in chunks]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = coef.reshape(-1, width).T
-        grad, loss = np.zeros((width, len(pairs) * runs)), np.zeros((len(pairs), runs))
-        grams: dict[int, dict[int, np.ndarray]] = {}
-        for fold, y, x in _blocks(batches):
-            n = len(x)
-            y = y[:, outcome][:, :, None]
-            inside = ((fold[:, None] != np.arange(runs)) | (np.arange(runs) == v))[:, None, :] & ~np.isnan(y)
-            y = np.nan_to_num(y)
-            eta = (x @ flat).reshape(n, len(pairs), runs)
-            loss += ((np.logaddexp(0, eta) - y * eta) * inside).sum(0)
-            p = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
-            grad += x.T @ ((p - y) * inside).reshape(n, -1)
-            weight = p * (1 - p) * inside
-            if own is not None:
-                for k, r in zip(*np.nonzero(own)):
-                    kept = grams.setdefault(int(r), {})
-                    kept[k] = kept.get(k, 0) + ((x * weight[:, k, r, None]).T @ x)[upper]
-                continue
-            weight = weight.sum(2) / np.maximum(inside.sum(2), 1)
+        grad, loss = np.zeros((len(pairs), runs, width)), np.zeros((len(pairs), runs))
+        grams: dict[int, np.ndarray] = {}
+
+        def add(x: np.ndarray, y: np.ndarray, inside: np.ndarray, weights: np.ndarray) -> None:
+            for chunk, flat, place in zip(chunks, flats, columns):
+                truth = y[:, outcome[chunk.start]]
+                known = ~np.isnan(truth)
+                if not known.any():
+                    continue
+                known = slice(None) if known.all() else np.flatnonzero(known)
+                signed = x[known] * (1 - 2 * truth[known])[:, None]
+                z = signed @ flat
+                far = np.abs(z)
+                np.negative(far, out=far)
+                np.exp(far, out=far)
+                near = 1 + far
+                # At most 2 ** ROWS_AT_ONCE: one logarithm for all rows.
+                loss[chunk] += (np.log(np.multiply.reduce(near, 0)) + np.maximum(z, 0).sum(0)).reshape(-1, runs) * inside
+                np.divide(1, near, out=near)
+                far *= near  # the smaller and, in `near`, the larger of p and 1 - p
+                residual = near - far
+                residual *= z >= 0
+                residual += far
+                grad[chunk] += (residual.T @ signed).reshape(-1, runs, width) * inside[:, None]
+                far *= near
+                if own is None:
+                    weights[known, place] = (far.reshape(-1, runs) @ (inside / inside.sum())).reshape(len(far), -1)
+                else:
+                    run = marked[1][place]
+                    weights[known, place] = far[:, (marked[0][place] - chunk.start) * runs + run] * inside[run]
+
+        for fold, y, x in _blocks(batches, GRAM_ROWS):
             for f in np.unique(fold).tolist():
                 at = fold == f
-                xf, wf = x[at], weight[at]
-                kept = grams.setdefault(f, {})
-                for k in range(len(pairs)):
-                    kept[k] = kept.get(k, 0) + ((xf * wf[:, k, None]).T @ xf)[upper]
+                xf, yf = x[at], y[at]
+                inside = np.ones(runs)
+                if 0 <= f < v:
+                    inside[f] = 0
+                weights = np.zeros((len(xf), len(pairs) if own is None else len(marked[0])))
+                for start in range(0, len(xf), ROWS_AT_ONCE):
+                    part = slice(start, start + ROWS_AT_ONCE)
+                    add(xf[part], yf[part], inside, weights[part])
+                found, block = weights.T @ _products(xf).T, f if own is None else -1
+                if block in grams:
+                    grams[block] += found
+                else:
+                    grams[block] = found
         if grams:
-            grad = grad.T.reshape(len(pairs), -1)
+            grad = grad.reshape(len(pairs), -1)
             for k in range(len(pairs)):
-                folds = [-1, *(f for f in grams if k in grams[f])]
-                data = [np.concatenate([grad[k], loss[k]]).tobytes(), *(grams[f][k].tobytes() for f in folds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(folds), pa.int64()), pa.array(folds, pa.int64()), pa.array(data, pa.binary())], names=["pair", "block", "data"])
+                if own is None:
+                    kept = {f: gram[k] for f, gram in grams.items()}
+                else:
+                    kept = {int(marked[1][i]): grams[-1][i] for i in np.flatnonzero(marked[0] == k)}
+                data = [np.concatenate([grad[k], loss[k]]).tobytes(), *(gram.tobytes() for gram in kept.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(data), pa.int64()), pa.array([-1, *kept], pa.int64()), pa.array(data, pa.binary())], names=["pair", "block", "data"])
 
     return each
 
@@ -152,7 +196,9 @@ class LassoPath:
             for batch in batches:
                 start = 0
                 for f, _, x in _blocks(iter([batch])):
-                    part = np.einsum("nd,olnd->nol", x, coef[:, :, f.astype(int), :])
+                    part = np.empty((len(x), *coef.shape[:2]))
+                    for r in np.unique(f).astype(int).tolist():  # no matrix product: equal rows must have equal scores
+                        part[f == r] = np.einsum("nd,old->nol", x[f == r], np.ascontiguousarray(coef[:, :, r]))
                     p = 1 / (1 + np.exp(-np.clip(part, -500, 500)))
                     flat = pa.array(p.reshape(-1))
                     offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p[0].size)
