@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from textlabel.plans import path
+from textlabel.plans import path, queries
 
 PENALTIES = [0.2, 0.03, 0.003, 0.0003]
 
@@ -86,6 +86,27 @@ def test_separable_and_empty(spark, rows):
         path.fit_path(rows.limit(0), ["y"], [0.1])
 
 
+def test_the_query_follows_every_run_to_its_end(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(100, 6))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)  # a line parts these: small penalties take many steps
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i % 10) for i in range(100)], "id long, features array<double>, free int, fold long")
+    kept, fit = [], path.fit_path
+    monkeypatch.setattr(queries, "FLAGS", ["free"])
+    monkeypatch.setattr(queries, "path_rows", lambda *_: rows)
+    monkeypatch.setattr(path, "fit_path", lambda *a, **b: kept.append(fit(*a, **b)) or kept[0])
+    assert queries.QUERIES["lasso_path"](spark, "").select("config").distinct().count() == 30
+    assert kept[0].converged.all() and kept[0].steps > 20
+    assert not fit(rows, ["free"], v=10, max_steps=20).converged.all()
+
+
+def test_one_class_ends(rows):
+    """Its intercept would grow for ever, by one a step."""
+    fitted = path.fit_path(rows.withColumn("y", F.lit(0)).withColumn("z", F.lit(1)), ["y", "z"], [0.1, 1e-3], v=2)
+    assert fitted.converged.all() and np.isfinite(fitted.coef).all()
+    assert (fitted.coef[0, :, :, 0] < -20).all() and (fitted.coef[1, :, :, 0] > 20).all()
+
+
 def test_scan_equals_the_plain_sums(monkeypatch):
     """Rows of several folds, partly and wholly unknown outcomes, pieces smaller than the batch, shared and own blocks."""
     monkeypatch.setattr(path, "ROWS_AT_ONCE", 5)

@@ -30,6 +30,8 @@ GRAM_ROWS = 1024
 PAIRS_AT_ONCE = 32
 # After so many steps the pairs that are left, as a rule small penalties of nearly separable outcomes, get curvature of their own.
 SHARED_STEPS = 14
+# After so many steps in a row with curvature of its own that lower its objective by rounding only, a run stands at its lowest point.
+LEVEL_STEPS = 6
 PENALTIES = tuple(p["penalty"] for p in penalty_grid())
 
 
@@ -223,14 +225,15 @@ def _as_array(rows: DataFrame, features: str):
 
 def fit_path(
     rows: DataFrame, outcomes: Sequence[str], penalties: Sequence[float] = PENALTIES, v: int = 10, fold: str = "fold",
-    features: str = "features", tol: float = 3e-4, max_steps: int = 100, tasks: int | None = None,
+    features: str = "features", tol: float = 3e-4, max_steps: int | None = None, tasks: int | None = None,
 ) -> LassoPath:
     """Fit every outcome (0/1, NULL where unknown) at every penalty on all rows and without each of the folds 0 to v - 1.
 
     Minimises mean log loss + penalty x sum of |coefficient| x standard deviation, as `LogisticRegression` with a pure
     L1 penalty does. `tol` bounds the last change of a coefficient in standard deviations (squared, 1e-7 by default, as is
-    usual for paths); `converged` tells which runs met it within `max_steps`. A step that does not lower
-    a run's objective is halved. What reaches the driver is the coefficients, a few MB for 100 features; a task sends
+    usual for paths), and a run also ends where steps lower its objective by rounding only, as an outcome without both classes
+    makes its intercept grow for ever. All runs are followed to their ends unless `max_steps` is given; `converged` tells
+    which ones got there. A step that does not lower a run's objective is halved. What reaches the driver is the coefficients, a few MB for 100 features; a task sends
     one Gram block a pair and fold it holds, so rows are first arranged by fold.
     """
     outcomes, penalties = list(outcomes), [float(p) for p in penalties]
@@ -248,10 +251,11 @@ def fit_path(
     coef = np.zeros((len(pairs), runs, width))
     move, share = np.zeros_like(coef), np.ones((len(pairs), runs))
     best = np.full((len(pairs), runs), np.inf)
+    level = np.zeros((len(pairs), runs), int)
     open_runs = np.ones((len(pairs), runs), bool)
     charged = np.where(np.isfinite(costs), costs, 0.0)
     step = 0
-    while open_runs.any() and step < max_steps:
+    while open_runs.any() and (max_steps is None or step < max_steps):
         step += 1
         live = np.flatnonzero(open_runs.any(1))
         trial = coef[live] + share[live, :, None] * move[live]
@@ -264,12 +268,14 @@ def fit_path(
             slack = 1e-12 * np.maximum(1.0, np.abs(value))
             better = open_runs[k] & (value <= best[k] + slack)
             worse = open_runs[k] & ~better
+            if step > SHARED_STEPS:
+                level[k] = np.where(value < best[k] - slack, 0, level[k] + 1)
             coef[k][better], best[k][better] = trial[i][better], np.minimum(value, best[k])[better]
             move[k][better] = (target - trial[i])[better]
             share[k][better] = 1.0
             share[k][worse] /= 2
             done = (np.abs(share[k][:, None] * move[k]) * units[k]).max(1) <= tol
-            open_runs[k] &= ~done
+            open_runs[k] &= ~(done | (level[k] >= LEVEL_STEPS))
     shape = (len(outcomes), len(penalties), runs, width)
     return LassoPath(outcomes, penalties, v, coef.reshape(shape), step, ~open_runs.reshape(shape[:3]))
 
@@ -317,16 +323,23 @@ def _solved(narrow: DataFrame, trial: np.ndarray, pairs: list[tuple[int, int]],
             sums[pair, block] = sums.get((pair, block), 0) + np.frombuffer(data)
         mine = sorted({pair for pair, _ in sums})
         head = np.stack([sums[k, -1] for k in mine])
-        h = np.zeros((len(mine), runs, width, width))
-        for i, k in enumerate(mine):
-            total = sum(s for (pair, block), s in sums.items() if pair == k and block >= 0)
-            for r in range(runs):
-                h[i, r][upper] = sums.get((k, r), 0) if own is not None else total - (sums.get((k, r), 0) if r < v else 0)
-        diagonal = np.einsum("krjj->krj", h).copy()
-        h += h.transpose(0, 1, 3, 2)
-        np.einsum("krjj->krj", h)[...] = diagonal
-        grad, loss = head[:, : runs * width].reshape(-1, width), head[:, runs * width :]
-        target = descend(h.reshape(-1, width, width), grad, trial[mine].reshape(-1, width), costs[mine].reshape(-1, width), sweeps=60 if own is None else 500)
+        # Runs that have settled stay where they are.
+        at = np.nonzero(np.ones((len(mine), runs), bool) if own is None else own[mine])
+        h = np.zeros((len(at[0]), width, width))
+        if own is None:
+            for i, k in enumerate(mine):
+                total = sum(s for (pair, block), s in sums.items() if pair == k and block >= 0)
+                for r in range(runs):
+                    h[i * runs + r][upper] = total - (sums.get((k, r), 0) if r < v else 0)
+        else:
+            for one, i, r in zip(h, *at):
+                one[upper] = sums.get((mine[i], r), 0)
+        diagonal = np.einsum("rjj->rj", h).copy()
+        h += h.transpose(0, 2, 1)
+        np.einsum("rjj->rj", h)[...] = diagonal
+        grad, loss = head[:, : runs * width].reshape(len(mine), runs, width), head[:, runs * width :]
+        target = trial[mine]
+        target[at] = descend(h, grad[at], target[at], costs[mine][at], sweeps=60 if own is None else 500)
         out = np.concatenate([loss, target.reshape(len(mine), -1)], 1)
         return pd.DataFrame({"pair": mine, "data": [o.tobytes() for o in out]})
 
