@@ -94,3 +94,34 @@ def test_shares_of_a_scan_equal_one_run_at_a_time():
         known = ~np.isnan(y[:, r.outcome]) & (fold != r.fold)
         loss, grad = network.loss_and_gradient(theta[[i]], np.hstack([np.ones((300, 1)), x]), np.nan_to_num(y[:, [r.outcome]]), 2.0 * known[:, None], 4)
         assert np.frombuffer(got[i]) == pytest.approx(np.concatenate([loss, grad[0][network._used(6, 4, r.units)]]))
+
+
+def test_followed_runs_equal_steps_over_all_rows(rows, monkeypatch):
+    configs = [{"hidden_units": u, "penalty": 0.1, "epochs": e} for u, e in ((2, 9), (5, 4), (2, 6))]
+    scans, scan = [], network.summed
+    monkeypatch.setattr(network, "summed", lambda *a: scans.append(1) or scan(*a))
+    held = network.fit_networks(rows, ["y", "z"], configs, v=3, weight="w")
+    assert not scans
+    monkeypatch.setattr(network, "HELD_BYTES", 0)
+    monkeypatch.setattr(network, "DIRECT_BYTES", 0)
+    steps = network.fit_networks(rows, ["y", "z"], configs, v=3, weight="w")
+    assert len(scans) >= 9 and held.runs == steps.runs and (held.steps == steps.steps).all()
+    assert held.theta == pytest.approx(steps.theta, abs=1e-6) and held.value == pytest.approx(steps.value, rel=1e-6)
+
+
+def test_shares_hold_every_run_once_and_keep_tasks_busy():
+    runs = [network.Run(o, k, k + 1, 0.1, 10 * k + 10, f) for o in range(9) for k in range(10) for f in range(-1, 10)]
+    for tasks in (1, 8, 300):
+        shares = network._spread(runs, tasks)
+        assert sorted(i for share in shares for i in share) == list(range(990)) and len(shares) >= tasks
+        assert all(len({runs[i].units for i in share}) == 1 and len(share) * runs[share[0]].units <= network.COLUMNS for share in shares)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_packed_blocks_come_back(share):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 7)) * (rng.random((300, 7)) < share), (rng.random((300, 2)) < 0.4).astype(float)
+    x[5], y[::9, 1] = 0, np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300) % 4), pa.array(y.tolist()), pa.array(rng.random(300)), pa.array(x.tolist())], names=["f", "y", "w", "x"])
+    for packed, plain in zip(network._packed(network._pack(iter([batch])), 8), network.blocks(iter([batch])), strict=True):
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(packed, plain, strict=True))
