@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textlabel.plans import network
+from textlabel.plans import models, network, queries
 
 SCHEMA = "id long, fold long, w int, features array<double>, y int, z int"
 
@@ -96,6 +96,22 @@ def test_shares_of_a_scan_equal_one_run_at_a_time():
         assert np.frombuffer(got[i]) == pytest.approx(np.concatenate([loss, grad[0][network._used(6, 4, r.units)]]))
 
 
+def test_the_query_takes_the_whole_space(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(60) < 0.2)).astype(int)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i % 10) for i in range(60)], "id long, features array<double>, free int, fold long")
+    kept, fit = [], network.fit_networks
+    monkeypatch.setattr(queries, "FLAGS", ["free"])
+    monkeypatch.setattr(queries, "path_rows", lambda *_: rows)
+    monkeypatch.setattr(network, "fit_networks", lambda *a, **b: kept.append(fit(*a, **b)) or kept[0])
+    assert queries.QUERIES["network_tuning"](spark, "").select("config").distinct().count() == 10
+    epochs = sorted(c["epochs"] for c in kept[0].configs)
+    assert all(10 + 99.1 * i <= e <= 10 + 99.1 * (i + 1) for i, e in enumerate(epochs))  # one from each tenth of 10 to 1,000
+    assert kept[0].configs == models.random_grid(models.MODELS["mlp"].space, 10)
+    assert kept[0].steps.max() > 60 and all(s <= r.epochs for s, r in zip(kept[0].steps, kept[0].runs))
+
+
 def test_followed_runs_equal_steps_over_all_rows(rows, monkeypatch):
     configs = [{"hidden_units": u, "penalty": 0.1, "epochs": e} for u, e in ((2, 9), (5, 4), (2, 6))]
     scans, scan = [], network.summed
